@@ -6,8 +6,98 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, packing, simhash
-from quarry.llm.common import table
+from quarry.llm import chat, exact_dedup, packing, simhash, toxicity, warc
+from quarry.llm.common import scratch, stored, table, trained_on
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's turns and conversation -1, whose texts look like a template's own marks."""
+    marks = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.windows(conversations(spark, sf_dir)))
+
+
+OP1_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), counted AS (
+  SELECT *, row_number() OVER w - 1 AS pos, 4 + len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\x00-\x20]')) AS n
+  FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), marked AS (
+  SELECT *, pos = 0 AND role = 'system' AS sys, CASE WHEN pos = 0 AND role = 'system' THEN 0 ELSE n END AS own FROM counted
+), summed AS (
+  SELECT *, sum(own) OVER w AS e, sum(own) OVER w - own AS s, max(CASE WHEN sys THEN n ELSE 0 END) OVER (PARTITION BY conv_id) AS kept
+  FROM marked WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+), stretched AS (
+  SELECT *, greatest(1, 768 - kept) AS stride, CAST(floor(s / greatest(1, 768 - kept)) AS BIGINT) AS k FROM summed
+), spans AS (
+  SELECT *, CASE WHEN sys THEN 0 ELSE k * 2 + (CASE WHEN e - (k + 1) * stride > 256 THEN 1 ELSE 0 END) END AS span FROM stretched
+), changed AS (
+  SELECT *, CASE WHEN span <> lag(span) OVER (PARTITION BY conv_id ORDER BY pos) THEN 1 ELSE 0 END AS c FROM spans
+), win AS (
+  SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY pos) AS w FROM changed
+), heads AS (
+  SELECT conv_id, w, min(s) FILTER (NOT sys) AS s, sum(n) FILTER (NOT sys) AS n, any_value(kept) AS kept FROM win GROUP BY conv_id, w
+), sizes AS (
+  SELECT conv_id, w, pos, s, sys, text, role, 2 + 3 + 5 + length(ROLE_) + length(TEXT_) AS chars FROM win
+), repeated AS (
+  SELECT h.conv_id, sum(z.chars) AS chars
+  FROM heads h JOIN sizes z ON h.conv_id IS NOT DISTINCT FROM z.conv_id AND z.w < h.w
+  WHERE z.sys OR h.s - z.s <= least(256, 1024 - h.kept - h.n)
+  GROUP BY h.conv_id
+), fresh AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars, max(w) + 1 AS n_windows
+  FROM sizes GROUP BY conv_id
+)
+SELECT f.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(f.chars + coalesce(r.chars, 0) AS BIGINT) AS formatted_chars, CAST(n_windows AS BIGINT) AS n_windows
+FROM fresh f LEFT JOIN repeated r ON f.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
+def _escaped_sql(column: str) -> str:
+    for a, b in chat.ESCAPES:
+        column = f"replace({column}, '{a}', '{b}')"
+    return column
+
+
+OP1_SQL = OP1_SQL.replace("ROLE_", _escaped_sql("role")).replace("TEXT_", _escaped_sql("text"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    written = stored(warc.write_archives(pages, scratch(spark, "warc"), archive_bytes=16 << 20), "archives")
+    read = warc.read_archives(written, with_payload=False).where(F.col("record_type") != "warcinfo")
+    return read.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+OP3_SQL = """
+WITH hashed AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS h FROM pages
+), bits AS (
+  SELECT page_id, h, octet_length(body) AS n, min(page_id) OVER (PARTITION BY h) AS first_id,
+         list_aggregate(list_transform(range(1, 41), lambda i: lpad(format('{:b}', instr('0123456789abcdef', substr(h, i, 1)) - 1), 4, '0')), 'string_agg', '') AS b
+  FROM hashed
+)
+SELECT page_id, n AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST(16 * CAST(substr(b, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(b, 5 * i + 3, 1) AS INT)
+               + 2 * CAST(substr(b, 5 * i + 4, 1) AS INT) + CAST(substr(b, 5 * i + 5, 1) AS INT) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM bits
+"""
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), trained_on)
+    return found.select("doc_id", (~trained_on(F.col("doc_id"))).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +122,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op3_warc": op3_warc,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
 }
 
 ORACLES = {
+    "op1_chat_format": OP1_SQL,
+    "op3_warc": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
