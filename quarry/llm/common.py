@@ -10,7 +10,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +62,19 @@ def trained_on(doc_id: Column) -> Column:
     """
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
+
+
+def slices(batch: pa.RecordBatch, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded number of bytes of text (one row at least)."""
+    size = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    start = 0
+    while start < batch.num_rows:
+        done = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, done + most_bytes, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def few(df: DataFrame, most_rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most most_rows rows, and joined by shuffle otherwise."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

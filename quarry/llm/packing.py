@@ -12,18 +12,16 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm.common import stored, text_of
+from quarry.llm.common import slices, stored, text_of
 
 #: Texts of these characters only, without the special token, go through the faster library; others through the tokenizer itself.
 _OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ɏ]|<\\|endoftext\\|>")
@@ -55,24 +53,13 @@ def token_ids(text: str, path: str) -> bytes:
     return np.array((exact if _OTHER.search(text) else fast)(text), "<u2").tobytes()
 
 
-def _rows(batch: pa.RecordBatch, most_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with a bounded number of bytes of text (one row at least)."""
-    size = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
-    start = 0
-    while start < batch.num_rows:
-        done = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, done + most_chars, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(part, at, doc_id, n, ids): every document's ids and its place in its partition's stream."""
 
     def run(batches):
         end, at = np.array([end_id], "<u2").tobytes(), 0
         for whole in batches:
-            for b in _rows(whole):
+            for b in slices(whole):
                 ids = [token_ids(t, tokenizer) + end for t in b.column("text").to_pylist()]
                 n = np.array([len(x) // 2 for x in ids], "int64")
                 yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(at + np.cumsum(n) - n), b.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], ["part", "at", "doc_id", "n", "ids"])

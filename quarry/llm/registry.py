@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, exact_dedup, packing, simhash, toxicity, warc
+from quarry.llm import chat, decontaminate, exact_dedup, language, packing, simhash, toxicity, warc
 from quarry.llm.common import scratch, stored, table, trained_on
 
 
@@ -121,6 +121,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    train = docs.where(trained_on(F.col("doc_id"))).select("doc_id", "lang", "text")
+    found = language.identify(docs, train, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", (~trained_on(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_warc": op3_warc,
@@ -128,6 +139,8 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
