@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, exact_dedup, language, packing, simhash, suffix_dedup, toxicity, warc
+from quarry.llm import chat, decontaminate, exact_dedup, language, packing, pii, simhash, suffix_dedup, toxicity, warc
 from quarry.llm.common import scratch, stored, table, trained_on
 
 
@@ -70,6 +70,10 @@ def _escaped_sql(column: str) -> str:
 OP1_SQL = OP1_SQL.replace("ROLE_", _escaped_sql("role")).replace("TEXT_", _escaped_sql("text"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     written = stored(warc.write_archives(pages, scratch(spark, "warc"), archive_bytes=16 << 20), "archives")
@@ -138,6 +142,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_pii": op2_pii,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
