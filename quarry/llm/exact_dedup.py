@@ -104,17 +104,17 @@ def keep_rows(docs: DataFrame, allow: DataFrame) -> DataFrame:
     than ids to the join's other side. Only repeated and null ids are told apart
     by their text's digest and a row number; there are few of those.
     """
-    allow = stored(allow.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n").alias("_n")), "allow")
-    often = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_r"))
+    allow = stored(allow.select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"), F.col("n").alias("__keep_n")), "allow")
+    often = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__keep_r"))
     often = stored(often, "repeated")
     if often.isEmpty():
-        return docs.join(allow, docs["doc_id"] == allow["_id"], "left_semi")
-    single = allow.join(often, F.col("_id").eqNullSafe(F.col("_r")), "left_anti")
-    kept = docs.join(single, docs["doc_id"] == single["_id"], "left_semi")
-    some = docs.join(often, docs["doc_id"].eqNullSafe(often["_r"]), "left_semi").withColumn("_s", F.sha2(text_of(), 256))
-    some = some.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_s").orderBy("_s")))
-    some = some.join(allow, some["doc_id"].eqNullSafe(allow["_id"]) & (some["_s"] == allow["_sha"]) & (some["_k"] <= allow["_n"]), "left_semi")
-    return kept.unionByName(some.drop("_s", "_k"))
+        return docs.join(allow, docs["doc_id"] == allow["__keep_id"], "left_semi")
+    single = allow.join(often, F.col("__keep_id").eqNullSafe(F.col("__keep_r")), "left_anti")
+    kept = docs.join(single, docs["doc_id"] == single["__keep_id"], "left_semi")
+    some = docs.join(often, docs["doc_id"].eqNullSafe(often["__keep_r"]), "left_semi").withColumn("__keep_s", F.sha2(text_of(), 256))
+    some = some.withColumn("__keep_k", F.row_number().over(Window.partitionBy("doc_id", "__keep_s").orderBy("__keep_s")))
+    some = some.join(allow, some["doc_id"].eqNullSafe(allow["__keep_id"]) & (some["__keep_s"] == allow["__keep_sha"]) & (some["__keep_k"] <= allow["__keep_n"]), "left_semi")
+    return kept.unionByName(some.drop("__keep_s", "__keep_k"))
 
 
 def drop_duplicates(docs: DataFrame, block_bytes: int = 8192) -> DataFrame:
