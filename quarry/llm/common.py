@@ -33,9 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def _mine(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{_mine(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application's operators have stored. Results that are not written yet can't be read after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_mine(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, text_of
+from quarry.llm.common import few, stored, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of which the two-parameter calibration is fitted, at most (expected).
@@ -197,15 +197,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def labelled(docs: DataFrame, labels: DataFrame, fold, most_broadcast: int = 4_000_000) -> DataFrame:
+def known_labels(labels: DataFrame, fold) -> DataFrame:
+    """(doc_id, toxic): one 0 or 1 for each id that fold lets be learned from."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    return known.where(F.col("toxic").isin(0, 1) & fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, fold, most_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, text, toxic) of docs with a 0 or 1 label that fold(doc_id) lets be learned from.
 
     An id with several labels counts as its largest. labels is broadcast up to
     most_broadcast rows, and joined by shuffle beyond.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = F.broadcast(known) if labels.select("doc_id").limit(most_broadcast + 1).count() <= most_broadcast else known
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    known = known_labels(labels, fold)
+    return docs.select("doc_id", "text").join(few(known, most_broadcast), "doc_id")
 
 
 def one_of_each(train: DataFrame) -> DataFrame:
@@ -229,8 +234,7 @@ def score(docs: DataFrame, labels: DataFrame, fold, significant: float = 0.01) -
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<struct<start: long, end: long, score: double, expected: double>>").alias("passages"))
     found = stored(segments(docs, model), "segments")
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = stored(found.join(known, "doc_id"), "labelled")
+    known = stored(found.join(known_labels(labels, fold), "doc_id"), "labelled")
     # K from the mean of a Gumbel variable: of clean texts with a segment, lambda S - ln n is ln K + 0.5772 on average.
     best = F.aggregate("segments", F.lit(0.0), lambda a, s: F.greatest(a, s["score"]))
     mean, n = known.where((F.col("toxic") == 0) & (F.size("segments") > 0)).agg(F.avg(best * model.lam - F.log(F.col("n_tokens").cast("double"))), F.count(F.lit(1))).head()
