@@ -140,6 +140,62 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP10_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'i', item_id, coalesce(text, '') FROM benchmark
+), listed AS (
+  SELECT side, id, regexp_extract_all(regexp_replace(text, '(^|\n|[.!?]\s+)(\p{Lu})', '\1' || chr(1) || '\2', 'g'), '\x01?\p{L}[\p{L}\p{M}'']*|[0-9]+(?:[.,][0-9]+)*') AS tokens FROM texts
+), words AS (
+  SELECT side, id, len(tokens) AS n, unnest(tokens) AS t, generate_subscripts(tokens, 1) - 1 AS pos FROM listed
+), plain AS (
+  SELECT side, id, n, pos, lower(replace(t, chr(1), '')) AS filler,
+         CASE WHEN t[1] = chr(1) THEN lower(t[2:]) WHEN t[1] BETWEEN '0' AND '9' THEN '<number>' WHEN lower(t[1]) <> t[1] THEN '<name>' ELSE t END AS p
+  FROM words
+), template AS (
+  SELECT side, id, n, pos, filler, CASE WHEN p IN (UNITS_) AND lag(p) OVER w = '<number>' THEN '<unit>' ELSE p END AS p
+  FROM plain WINDOW w AS (PARTITION BY side, id ORDER BY pos)
+), spans AS (
+  SELECT side, id, n, pos, list(p) OVER w AS ps, list(filler) OVER w AS fs
+  FROM template WINDOW w AS (PARTITION BY side, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+), windows AS (
+  SELECT side, id, pos, ps, fs, n < 5 AS short FROM spans
+  WHERE (len(ps) = 5 OR n < 5 AND pos = 0) AND len([p FOR p IN ps IF p IN ('<number>', '<name>', '<unit>')]) * 2 < len(ps)
+), sizes AS (
+  SELECT id AS item_id, count(*) AS n FROM windows WHERE side = 'i' GROUP BY id
+), met AS (
+  SELECT row_number() OVER () AS m, d.id AS doc_id, i.id AS item_id, d.pos, i.pos AS ipos, d.ps, i.fs AS slots, d.fs AS fillers
+  FROM windows d JOIN windows i ON d.side = 'd' AND i.side = 'i' AND d.ps = i.ps AND d.short = i.short
+), pairs AS (
+  SELECT m, doc_id, item_id, kind, slot, filler
+  FROM (SELECT m, doc_id, item_id, unnest(ps) AS kind, unnest(slots) AS slot, unnest(fillers) AS filler FROM met)
+  WHERE kind IN ('<number>', '<name>', '<unit>')
+), votes AS (
+  SELECT doc_id, item_id, kind, slot, filler, count(*) AS n FROM pairs GROUP BY ALL
+), chosen AS (
+  SELECT doc_id, item_id, kind, slot, filler FROM votes
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, kind, slot ORDER BY n DESC, filler DESC) = 1
+), wrong AS (
+  SELECT DISTINCT m FROM pairs JOIN chosen c USING (doc_id, item_id, kind, slot) WHERE pairs.filler <> c.filler
+), agreed AS (
+  SELECT * FROM met WHERE m NOT IN (SELECT m FROM wrong)
+), line AS (
+  SELECT DISTINCT doc_id, item_id, pos - ipos AS shift, ipos FROM agreed
+), grouped AS (
+  SELECT *, ipos - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY ipos) AS g FROM line
+), runs AS (
+  SELECT doc_id, item_id, max(k) AS longest FROM (SELECT doc_id, item_id, count(*) AS k FROM grouped GROUP BY doc_id, item_id, shift, g) GROUP BY ALL
+), found AS (
+  SELECT a.doc_id, a.item_id, count(DISTINCT ipos) / any_value(s.n) AS coverage, any_value(r.longest) AS longest
+  FROM agreed a JOIN sizes s USING (item_id) JOIN runs r USING (doc_id, item_id) GROUP BY a.doc_id, a.item_id
+), held AS (
+  SELECT doc_id, count(*) AS n_items, min(item_id) AS item_id, max(coverage) AS coverage FROM found WHERE coverage >= 0.8 OR longest >= 9 GROUP BY doc_id
+)
+SELECT d.doc_id, h.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, item_id, coalesce(coverage, 0.0) AS coverage
+FROM documents d LEFT JOIN held h ON h.doc_id = d.doc_id
+""".replace("UNITS_", ", ".join(f"'{u}'" for u in decontaminate.UNITS))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_pii": op2_pii,
@@ -157,4 +213,5 @@ ORACLES = {
     "op1_chat_format": OP1_SQL,
     "op3_warc": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op10_decontamination": OP10_SQL,
 }
