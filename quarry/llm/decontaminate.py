@@ -4,7 +4,7 @@ Texts become templates: numbers, names and units turn into typed placeholders, a
 else into lower-case words. Windows of a benchmark's templates are joined with the
 documents' by hash, so a question whose numbers and names were exchanged still
 meets its source. Whoever meets it is then checked in full: each slot of the
-question must have one filler throughout the document.
+question must have one filler throughout an occurrence.
 """
 
 from __future__ import annotations
@@ -78,13 +78,26 @@ def _slots(at: Column, words: int) -> Column:
     return F.filter(every, lambda x: x["kind"].isin(NUMBER, NAME, UNIT))
 
 
+def _occurrences() -> Column:
+    """The groups in which a match (shift, length of the item) votes: the document, its shift, and two bands of shifts.
+
+    Copies of an item lie its length apart, so half-overlapping bands half as wide
+    keep them apart, and hold one copy whole that has words put in or left out.
+    """
+    at = lambda scale, band: F.struct(F.lit(scale).alias("scale"), band.cast("long").alias("band"))
+    band = F.floor(F.col("shift") / F.greatest(F.floor(F.col("length") / 4), F.lit(1)))
+    return F.array(at(0, F.lit(0)), at(1, F.col("shift")), at(2, band), at(2, band - 1))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: float = 0.8, run: int = 9, most_broadcast: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, coverage, longest_run): the benchmark items that documents hold.
 
     An item is held where share of its windows of words template words stand in
     the document, or run of them one after the other (13 words), counting only
-    windows whose slots agree: within a document each number, name or unit of the
-    item has one filler, the one most of its windows show. docs needs doc_id and
+    windows whose slots agree: within an occurrence each number, name or unit of
+    the item has one filler, the one most of its windows show. Occurrences are
+    windows at one distance from the item's, at nearby distances, and all of the
+    document's; the best one counts. docs needs doc_id and
     text, benchmark item_id and text; other columns are ignored, null texts are
     empty and match nothing, as do texts without words. Texts of fewer than words
     words match only as a whole. Rows with the same doc_id or item_id count as
@@ -103,30 +116,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: f
     suspects = stored(met.groupBy("doc_id").agg(F.countDistinct("hash").alias("n"), F.min("need").alias("need")).where("n >= need").select("doc_id"), "suspects")
     dw = _matches(templates(docs.join(few(suspects, most_broadcast), "doc_id", "left_semi"), "doc_id"), iw, items, words, most_broadcast)
     dw = stored(dw, "matches")
-    # The filler most windows show for each of the item's slots.
-    seen = dw.select("doc_id", "item_id", F.explode("pairs").alias("p")).select("doc_id", "item_id", "p.kind", "p.slot", "p.filler")
-    votes = seen.groupBy("doc_id", "item_id", "kind", "slot", "filler").agg(F.count(F.lit(1)).alias("n"))
-    chosen = votes.groupBy("doc_id", "item_id", "kind", "slot").agg(F.max_by("filler", F.struct("n", "filler")).alias("filler"))
-    chosen = chosen.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("kind", "slot", "filler")).alias("chosen"))
-    agreed = dw.join(chosen, ["doc_id", "item_id"], "left").where(F.coalesce(F.size(F.array_except("pairs", "chosen")) == 0, F.lit(True)) | (F.size("pairs") == 0))
-    covered = agreed.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("hit"))
+    dw = dw.withColumn("shift", F.col("pos") - F.col("ipos")).withColumn("at", F.explode(_occurrences()))
+    # The filler most windows of an occurrence show for each of the item's slots.
+    key = ["doc_id", "item_id", "at"]
+    seen = dw.select(*key, F.explode("pairs").alias("p")).select(*key, "p.kind", "p.slot", "p.filler")
+    votes = seen.groupBy(*key, "kind", "slot", "filler").agg(F.count(F.lit(1)).alias("n"))
+    chosen = votes.groupBy(*key, "kind", "slot").agg(F.max_by("filler", F.struct("n", "filler")).alias("filler"))
+    chosen = chosen.groupBy(*key).agg(F.collect_set(F.struct("kind", "slot", "filler")).alias("chosen"))
+    agreed = dw.join(chosen, key, "left").where(F.coalesce(F.size(F.array_except("pairs", "chosen")) == 0, F.lit(True)) | (F.size("pairs") == 0))
+    covered = agreed.groupBy(*key).agg(F.countDistinct("ipos").alias("hit")).groupBy("doc_id", "item_id").agg(F.max("hit").alias("hit"))
     # Runs: windows one after the other in both texts keep pos - ipos, and within that ipos less their rank.
-    line = agreed.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos").distinct()
-    line = line.withColumn("g", F.col("ipos") - F.row_number().over(Window.partitionBy("doc_id", "item_id", "shift").orderBy("ipos")))
-    runs = line.groupBy("doc_id", "item_id", "shift", "g").agg(F.count(F.lit(1)).alias("k")).groupBy("doc_id", "item_id").agg(F.max("k").alias("longest_run"))
+    line = agreed.select(*key, "shift", "ipos").distinct()
+    line = line.withColumn("g", F.col("ipos") - F.row_number().over(Window.partitionBy(*key, "shift").orderBy("ipos")))
+    runs = line.groupBy(*key, "shift", "g").agg(F.count(F.lit(1)).alias("k")).groupBy("doc_id", "item_id").agg(F.max("k").alias("longest_run"))
     found = covered.join(runs, ["doc_id", "item_id"]).join(few(sizes, most_broadcast), "item_id").withColumn("coverage", F.col("hit") / F.col("n"))
     return found.where((F.col("coverage") >= share) | (F.col("longest_run") >= run)).select("doc_id", "item_id", "coverage", "longest_run")
 
 
 def _matches(rows: DataFrame, iw: DataFrame, items: DataFrame, words: int, most_broadcast: int) -> DataFrame:
-    """(doc_id, item_id, pos, ipos, pairs) of the windows that suspects share with items; pairs: what stands where the item has a slot."""
+    """(doc_id, item_id, pos, ipos, length, pairs) of the windows that suspects share with items.
+
+    length: the item's words; pairs: what stands where the item has a slot.
+    """
     hashed = windows(rows, words, "doc_id", "tokens", "template")
     cut = F.transform("hashes", lambda x, i: F.struct(x.alias("hash"), i.alias("pos"), _slots(i, words).alias("there")))
     pos = hashed.select("doc_id", F.explode_outer(F.filter(cut, lambda x: x["hash"].isNotNull())).alias("w")).select("doc_id", "w.*").where("hash is not null")
-    slots = iw.join(items, "item_id").select("item_id", "ipos", "hash", _slots(F.col("ipos"), words).alias("slots"))
+    slots = iw.join(items, "item_id").select("item_id", "ipos", "hash", F.size("tokens").alias("length"), _slots(F.col("ipos"), words).alias("slots"))
     both = pos.join(few(slots, most_broadcast), "hash")
     pairs = F.zip_with("slots", "there", lambda a, b: F.struct(a["kind"].alias("kind"), a["filler"].alias("slot"), b["filler"].alias("filler")))
-    return both.select("doc_id", "item_id", "pos", "ipos", pairs.alias("pairs"))
+    return both.select("doc_id", "item_id", "pos", "ipos", "length", pairs.alias("pairs"))
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:

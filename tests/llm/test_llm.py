@@ -460,3 +460,19 @@ def test_decontamination(spark, empty):
     assert (10, True, 1) in got and (None, False, None) in got and decontaminate.verdicts(docs, bench).count() == 12
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {None, 14, 15, 17, 18, 19}
     assert decontaminate.verdicts(empty, bench).count() == 0 and not decontaminate.verdicts(docs, bench.limit(0)).where("contaminated").count()
+
+
+def held(spark, docs, bench):
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id): r.coverage for r in rows}
+
+
+def test_decontamination_votes_by_occurrence(spark):
+    item = "Today Tom has 5 red apples and Tom gives Mary 2 of them. How many of 5 apples does Tom have left when 2 are with Mary?"
+    swap = lambda **to: re.sub(r"Tom|Mary|\b[52]\b", lambda m: to.get({"5": "five", "2": "two"}.get(m[0], m[0]), m[0]), item)
+    one, two = swap(Tom="Al", five="9", Mary="Zoe", two="1"), swap(Tom="Zed", five="7", Mary="Ann", two="4")
+    # A generic window of the item, often and with another filler.
+    long = prose(300) + "\n" + item + "\n" + "\n".join("how many of 77 apples does Wim have left when 88 are with Eve " + prose(5) for _ in range(30))
+    docs = [(1, item + "\n" + one), (2, one + "\n" + two), (3, long), (4, one), (5, prose(200))]
+    got = held(spark, docs, [(1, item)])
+    assert got == dict.fromkeys([(1, 1), (2, 1), (3, 1), (4, 1)], 1.0)
