@@ -89,6 +89,13 @@ def _occurrences() -> Column:
     return F.array(at(0, F.lit(0)), at(1, F.col("shift")), at(2, band), at(2, band - 1))
 
 
+def _least_hashes(ks: Column, goal: Column) -> Column:
+    """The fewest distinct hashes that can stand at goal positions; ks: how many positions each has, falling."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("j"))
+    step = lambda a, k: F.when(a["at"] < goal, F.struct((a["at"] + k).alias("at"), (a["j"] + 1).alias("j"))).otherwise(a)
+    return F.aggregate(ks, start, step, lambda a: a["j"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: float = 0.8, run: int = 9, most_broadcast: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, coverage, longest_run): the benchmark items that documents hold.
 
@@ -108,7 +115,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: f
     iw = windows(items, words, "item_id").select("item_id", F.posexplode_outer("hashes").alias("ipos", "hash")).where("hash is not null").distinct()
     iw = stored(iw, "item-windows")
     sizes = iw.groupBy("item_id").agg(F.countDistinct("ipos").alias("n"))
-    sizes = sizes.withColumn("need", F.least(F.ceil(F.col("n") * share), F.lit(run)))
+    repeats = iw.groupBy("item_id", "hash").agg(F.count(F.lit(1)).alias("k")).groupBy("item_id").agg(F.sort_array(F.collect_list("k"), asc=False).alias("ks"))
+    sizes = sizes.join(repeats, "item_id").select("item_id", "n", _least_hashes(F.col("ks"), F.least(F.ceil(F.col("n") * share - 1e-6), F.lit(run))).alias("need"))
     wanted = few(iw.join(sizes, "item_id").groupBy("hash").agg(F.min("need").alias("need")), most_broadcast)
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     met = windows(templates(docs, "doc_id"), words, "doc_id").select("doc_id", F.explode_outer("hashes").alias("hash"))

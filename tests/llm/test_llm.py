@@ -476,3 +476,11 @@ def test_decontamination_votes_by_occurrence(spark):
     docs = [(1, item + "\n" + one), (2, one + "\n" + two), (3, long), (4, one), (5, prose(200))]
     got = held(spark, docs, [(1, item)])
     assert got == dict.fromkeys([(1, 1), (2, 1), (3, 1), (4, 1)], 1.0)
+
+
+def test_decontamination_of_repetitive_items(spark):
+    sums = " ".join(f"Add {i} and {i + 1}." for i in range(3, 21, 2))
+    bench = [(1, sums), (2, "buffalo " * 20)]
+    docs = [(1, prose(20) + ".\n" + sums), (2, prose(20) + " " + "buffalo " * 20), (3, "Add 3 and 4."), (4, "buffalo " * 6), (5, prose(80))]
+    got = held(spark, docs, bench)
+    assert {k for k in got if k[0] in (1, 2, 3, 5)} == {(1, 1), (2, 2)}
