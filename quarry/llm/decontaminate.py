@@ -17,7 +17,12 @@ from quarry.llm.common import few, stored, text_of
 # How a text is read. MARK notes a sentence's first word, whose capital says nothing.
 MARK = "\x01"
 STARTS = r"(^|\n|[.!?]\s+)(\p{Lu})"
+# A capital after any other mark (a bullet, quote, bracket or colon) may start a sentence as well.
+WIDE_STARTS = r"(^\s*|\n\s*|[^\p{L}\p{M}\p{N}\s',-]\s*|\s-\s*)(\p{Lu})"
 TOKEN = MARK + r"?\p{L}[\p{L}\p{M}']*|[0-9]+(?:[.,][0-9]+)*"
+# Scripts without blanks between words: a literal token is one sign.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+LITERAL = rf"[{UNSPACED}]|[\p{{L}}&&[^{UNSPACED}]][\p{{L}}\p{{M}}'&&[^{UNSPACED}]]*|[0-9]+(?:[.,][0-9]+)*"
 UNITS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds lb lbs ton tons "
     "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
@@ -26,8 +31,8 @@ UNITS = (
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(text, STARTS, "$1" + MARK + "$2"), F.lit(TOKEN), F.lit(0))
+def _tokens(text: Column, starts: str = STARTS) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(text, starts, "$1" + MARK + "$2"), F.lit(TOKEN), F.lit(0))
 
 
 def _canonical(tokens: Column) -> Column:
@@ -42,13 +47,24 @@ def _with_units(plain: Column) -> Column:
     return F.zip_with(plain, F.slice(before, F.lit(1), F.size(plain)), lambda t, b: F.when(t.isin(UNITS) & (b == NUMBER), UNIT).otherwise(t))
 
 
-def templates(docs: DataFrame, *keep: str) -> DataFrame:
+def templates(docs: DataFrame, *keep: str, starts: str = STARTS) -> DataFrame:
     """keep, tokens (as written) and template of each text."""
-    rows = docs.select(*keep, _tokens(text_of()).alias("tokens"))
+    rows = docs.select(*keep, _tokens(text_of(), starts).alias("tokens"))
     rows = rows.withColumn("plain", _canonical(F.col("tokens")))
     return rows.withColumn("template", _with_units(F.col("plain"))).drop("plain")
 
 
+def wide_templates(docs: DataFrame, *keep: str) -> DataFrame:
+    """templates in which a capital after any mark may start a sentence."""
+    return templates(docs, *keep, starts=WIDE_STARTS)
+
+
+def literals(docs: DataFrame, *keep: str) -> DataFrame:
+    """As templates, of lower-cased words and signs as they are; no placeholders."""
+    rows = docs.select(*keep, F.regexp_extract_all(F.lower(text_of()), F.lit(LITERAL), F.lit(0)).alias("tokens"))
+    return rows.withColumn("template", F.col("tokens"))
+
+
 def _window_hashes(words: int) -> Column:
     """Hashes of all windows of column h (the template's word hashes); a shorter text is one window of its own length.
 
@@ -109,20 +125,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: f
     empty and match nothing, as do texts without words. Texts of fewer than words
     words match only as a whole. Rows with the same doc_id or item_id count as
     one; null ids have no row. The order of equal rows does not matter.
+
+    Items that templates can miss though they are copied word for word are also
+    looked for by literal windows, without placeholders, and by templates that
+    take a capital after any mark for a sentence start: items of so few windows
+    that losing one is too many, and those in scripts without blanks. The
+    documents are read again for them only if there are any.
     """
+    found, sizes = _held(docs, benchmark, templates, words, share, run, most_broadcast)
+    most = F.coalesce(F.col("n"), F.lit(0))
+    hard = stored(benchmark.where("item_id is not null").select("item_id", "text").join(sizes.select("item_id", "n"), "item_id", "left").where(text_of().rlike(f"[{UNSPACED}]") | (most - 1 < most * share - 1e-6)).select("item_id", "text"), "hard-items")
+    if hard.isEmpty():
+        return found
+    for read in (literals, wide_templates):
+        found = found.unionByName(_held(docs, hard, read, words, share, run, most_broadcast)[0])
+    return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("longest_run").alias("longest_run"))
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, read, words: int, share: float, run: int, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """contaminated by texts as read gives them, and (item_id, n, need) of the items that have windows."""
     # explode_outer: from explode, Spark infers a filter on the array and would compute all of it twice, lambdas within lambdas.
-    items = stored(templates(benchmark.where("item_id is not null"), "item_id"), "items")
+    items = stored(read(benchmark.where("item_id is not null"), "item_id"), "items")
     iw = windows(items, words, "item_id").select("item_id", F.posexplode_outer("hashes").alias("ipos", "hash")).where("hash is not null").distinct()
     iw = stored(iw, "item-windows")
     sizes = iw.groupBy("item_id").agg(F.countDistinct("ipos").alias("n"))
     repeats = iw.groupBy("item_id", "hash").agg(F.count(F.lit(1)).alias("k")).groupBy("item_id").agg(F.sort_array(F.collect_list("k"), asc=False).alias("ks"))
-    sizes = sizes.join(repeats, "item_id").select("item_id", "n", _least_hashes(F.col("ks"), F.least(F.ceil(F.col("n") * share - 1e-6), F.lit(run))).alias("need"))
+    sizes = stored(sizes.join(repeats, "item_id").select("item_id", "n", _least_hashes(F.col("ks"), F.least(F.ceil(F.col("n") * share - 1e-6), F.lit(run))).alias("need")), "sizes")
     wanted = few(iw.join(sizes, "item_id").groupBy("hash").agg(F.min("need").alias("need")), most_broadcast)
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    met = windows(templates(docs, "doc_id"), words, "doc_id").select("doc_id", F.explode_outer("hashes").alias("hash"))
+    met = windows(read(docs, "doc_id"), words, "doc_id").select("doc_id", F.explode_outer("hashes").alias("hash"))
     met = met.where("hash is not null").join(wanted, "hash")
     suspects = stored(met.groupBy("doc_id").agg(F.countDistinct("hash").alias("n"), F.min("need").alias("need")).where("n >= need").select("doc_id"), "suspects")
-    dw = _matches(templates(docs.join(few(suspects, most_broadcast), "doc_id", "left_semi"), "doc_id"), iw, items, words, most_broadcast)
+    dw = _matches(read(docs.join(few(suspects, most_broadcast), "doc_id", "left_semi"), "doc_id"), iw, items, words, most_broadcast)
     dw = stored(dw, "matches")
     dw = dw.withColumn("shift", F.col("pos") - F.col("ipos")).withColumn("at", F.explode(_occurrences()))
     # The filler most windows of an occurrence show for each of the item's slots.
@@ -138,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: f
     line = line.withColumn("g", F.col("ipos") - F.row_number().over(Window.partitionBy(*key, "shift").orderBy("ipos")))
     runs = line.groupBy(*key, "shift", "g").agg(F.count(F.lit(1)).alias("k")).groupBy("doc_id", "item_id").agg(F.max("k").alias("longest_run"))
     found = covered.join(runs, ["doc_id", "item_id"]).join(few(sizes, most_broadcast), "item_id").withColumn("coverage", F.col("hit") / F.col("n"))
-    return found.where((F.col("coverage") >= share) | (F.col("longest_run") >= run)).select("doc_id", "item_id", "coverage", "longest_run")
+    return found.where((F.col("coverage") >= share) | (F.col("longest_run") >= run)).select("doc_id", "item_id", "coverage", "longest_run"), sizes
 
 
 def _matches(rows: DataFrame, iw: DataFrame, items: DataFrame, words: int, most_broadcast: int) -> DataFrame:

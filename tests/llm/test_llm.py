@@ -484,3 +484,20 @@ def test_decontamination_of_repetitive_items(spark):
     docs = [(1, prose(20) + ".\n" + sums), (2, prose(20) + " " + "buffalo " * 20), (3, "Add 3 and 4."), (4, "buffalo " * 6), (5, prose(80))]
     got = held(spark, docs, bench)
     assert {k for k in got if k[0] in (1, 2, 3, 5)} == {(1, 1), (2, 2)}
+
+
+def test_decontamination_of_items_without_template_windows(spark):
+    items = {
+        1: "12 15 18 21 24 27 30 33",
+        2: "Anna Bertha Carla Dora Emil Frida Gustav",
+        3: "WHICH PLANET IS THE LARGEST OF ALL",
+        4: "小明有五个苹果，他给了小红两个，请问他还剩几个？",
+        5: "How many moons does that planet have?",
+        6: "มีแอปเปิ้ลห้าผลให้ไปสองผลเหลือกี่ผล",
+    }
+    around = {1: "see {} there", 2: "met {} there", 3: "say: {} now", 4: "前文题目{}以后", 5: "Q: {} 63", 6: "ข้อ{}ครับ"}
+    docs = [(i, prose(20) + " " + around[i].format(t) + " " + prose(20)) for i, t in items.items()]
+    docs += [(7, prose(9) + " (" + items[5].replace("planet", "comet") + ")"), (8, "Numbers 12 18 15 24 21 30 27 33 here"), (9, "Anna met Bertha and Carla"), (10, "小明有很多朋友")]
+    assert held(spark, docs, list(items.items())) == dict.fromkeys([(i, i) for i in items], 1.0)
+    # One more name after a colon: the wide template finds it, not the words.
+    assert held(spark, [(1, "Q: How many coins does Ann have?")], [(1, "How many coins does Tom have?")]) == {(1, 1): 1.0}
