@@ -26,7 +26,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates, the document with the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    return simhash.drop_near_duplicates(docs, merge_ids=False)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,5 +198,7 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: float
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item; rows without an id stay."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of docs that hold no benchmark item, each by its own text; rows without an id stay."""
+    rows = docs.withColumn("__held_sha", F.when(F.col("doc_id").isNotNull(), F.sha2(text_of(), 256)))
+    held = contaminated(rows.select(F.col("__held_sha").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__held_sha")).distinct()
+    return rows.join(held, "__held_sha", "left_anti").select(*docs.columns)

@@ -94,12 +94,13 @@ def links(fps: DataFrame, most: int = 256) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id, text_sha256.
+    """One row per row of docs: doc_id, fp, component_id, text_sha256, root.
 
     docs needs doc_id and text; other columns are ignored. A null text is empty;
     texts without a word have fingerprint 0, which links like any other. Equal
     fingerprints always link. component_id is the smallest doc_id of the
-    component; null ids are ignored for it, unless there is no other. Repeated
+    component; null ids are ignored for it, unless there is no other. root is the
+    smallest fingerprint of the component, which names it also where ids repeat or are null. Repeated
     rows give repeated results, an empty table none.
     """
     fps = stored(fingerprints(docs, words, seed), "fingerprints")
@@ -107,15 +108,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     roots = components(links(reps.select("fp")))
     classes = stored(reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "classes")
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = classes.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "text_sha256")
+    named = classes.join(least, "root").select("fp", "component_id", "root")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "text_sha256", "root")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, merge_ids: bool = True) -> DataFrame:
     """One row of docs for each component: that with its smallest doc_id.
 
     Of rows that repeat that doc_id one stays; a component of null ids keeps one.
+    With merge_ids, components with the same smallest doc_id count as one;
+    without, each keeps a row.
     """
     found = near_duplicates(docs, words, seed)
-    one = found.groupBy("component_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "text_sha256"))).alias("one"))
+    name = F.when(F.lit(not merge_ids) | F.col("component_id").isNull(), F.col("root")).alias("name")
+    one = found.groupBy("component_id", name).agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "text_sha256"))).alias("one"))
     return keep_rows(docs, one.select("one.*", F.lit(1).alias("n")))

@@ -144,8 +144,8 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, y - x) for a, b, x, y, _ in kept]
 
 
-def segments(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds n_tokens and segments array<struct<start, end, score>> (code points) to docs' doc_id; one row per row."""
+def segments(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """Adds n_tokens and segments array<struct<start, end, score>> (code points) to docs' doc_id and keep (strings); one row per row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most most_tokens entries
 
@@ -171,10 +171,10 @@ def segments(docs: DataFrame, model: Model) -> DataFrame:
                     continue
                 spans = [x.span() for x in WORD.finditer(low)]
                 found.append([{"start": spans[i][0], "end": spans[j - 1][1], "score": s} for i, j, s in got])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(found, kind)], ["doc_id", "n_tokens", "segments"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(found, kind)], ["doc_id", *keep, "n_tokens", "segments"])
 
-    docs = docs.select("doc_id", text_of().alias("text"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, segments array<struct<start: long, end: long, score: double>>")
+    docs = docs.select("doc_id", *keep, text_of().alias("text"))
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {''.join(f'{c} string, ' for c in keep)}n_tokens long, segments array<struct<start: long, end: long, score: double>>")
 
 
 def _evidence(model: Model, k: float):
@@ -219,8 +219,8 @@ def one_of_each(train: DataFrame) -> DataFrame:
     return train.join(first, "doc_id", "left_semi")
 
 
-def score(docs: DataFrame, labels: DataFrame, fold, significant: float = 0.01) -> DataFrame:
-    """One row per row of docs: doc_id, score (0 to 1), predicted, n_tokens, passages.
+def score(docs: DataFrame, labels: DataFrame, fold, significant: float = 0.01, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, keep (string columns of docs), score (0 to 1), predicted, n_tokens, passages.
 
     docs needs doc_id and text, labels doc_id and toxic; other columns are
     ignored. Only labels whose doc_id passes fold are learned from, and no label
@@ -232,8 +232,8 @@ def score(docs: DataFrame, labels: DataFrame, fold, significant: float = 0.01) -
     train = labelled(docs, labels, fold)
     model = token_model(one_of_each(train))
     if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<struct<start: long, end: long, score: double, expected: double>>").alias("passages"))
-    found = stored(segments(docs, model), "segments")
+        return docs.select("doc_id", *keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<struct<start: long, end: long, score: double, expected: double>>").alias("passages"))
+    found = stored(segments(docs, model, *keep), "segments")
     known = stored(found.join(known_labels(labels, fold), "doc_id"), "labelled")
     # K from the mean of a Gumbel variable: of clean texts with a segment, lambda S - ln n is ln K + 0.5772 on average.
     best = F.aggregate("segments", F.lit(0.0), lambda a, s: F.greatest(a, s["score"]))
@@ -249,7 +249,7 @@ def score(docs: DataFrame, labels: DataFrame, fold, significant: float = 0.01) -
     expected = lambda s: F.exp(-s["score"] * model.lam) * k * F.col("n_tokens")
     passages = F.filter(F.transform("segments", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), expected(s).alias("expected"))), lambda s: s["expected"] < significant)
     found = found.withColumn("score", 1 / (1 + F.exp(-odds)))
-    return found.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", passages.alias("passages"))
+    return found.select("doc_id", *keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", passages.alias("passages"))
 
 
 def _shape(x: np.ndarray) -> np.ndarray:
@@ -258,6 +258,7 @@ def _shape(x: np.ndarray) -> np.ndarray:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, fold) -> DataFrame:
-    """The rows of docs whose text is not predicted toxic. Rows that share a doc_id go if any of their texts is; null ids stay."""
-    bad = score(docs, labels, fold).where("predicted = 1").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of docs whose text is not predicted toxic. The text decides, so rows without an id or with a repeated one are told apart."""
+    rows = docs.withColumn("__toxic_sha", F.sha2(text_of(), 256))
+    bad = score(rows, labels, fold, keep=("__toxic_sha",)).where("predicted = 1").select("__toxic_sha").distinct()
+    return rows.join(bad, "__toxic_sha", "left_anti").select(*docs.columns)

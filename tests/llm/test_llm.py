@@ -501,3 +501,23 @@ def test_decontamination_of_items_without_template_windows(spark):
     assert held(spark, docs, list(items.items())) == dict.fromkeys([(i, i) for i in items], 1.0)
     # One more name after a colon: the wide template finds it, not the words.
     assert held(spark, [(1, "Q: How many coins does Ann have?")], [(1, "How many coins does Tom have?")]) == {(1, 1): 1.0}
+
+
+# ---- rows that share an id or have none
+
+
+def test_stages_tell_rows_apart(spark):
+    texts = [prose(40) for _ in range(5)]
+    docs = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[4])], SCHEMA)
+    kept = simhash.drop_near_duplicates(docs, merge_ids=False)
+    assert sorted(r.text for r in kept.collect()) == sorted(texts)
+    assert sorted(r.text for r in simhash.drop_near_duplicates(docs).where("doc_id is null").collect()) == sorted(texts[:2])
+    bad = "scumbag moronic trashy"
+    rows = [(i, prose(20) + (f" {bad} " + prose(5)) * (i % 5 == 0)) for i in range(300)]
+    twins = [(1000, bad + " one"), (1000, texts[0]), (None, bad + " two"), (None, texts[1])]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    clean = toxicity.drop_toxic(spark.createDataFrame(rows + twins, SCHEMA), labels, trained_on)
+    assert clean.columns == ["doc_id", "text"]
+    assert sorted(r.text for r in clean.where("doc_id is null or doc_id = 1000").collect()) == sorted(texts[:2])
+    bench = spark.createDataFrame([(1, texts[2])], "item_id long, text string")
+    assert sorted(r.text for r in decontaminate.drop_contaminated(docs, bench).collect()) == sorted([*texts[:2], texts[1], *texts[3:]])
