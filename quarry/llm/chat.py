@@ -107,8 +107,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Adds turns array<struct<role, text>> (those not repeated) and loss_text to windows, from formatted and loss alone."""
     piece = F.split("formatted", END)
     fresh = F.slice(piece, F.col("n_repeated") + 1, F.size(piece) - 1 - F.col("n_repeated"))
-    both = F.transform(fresh, lambda p: F.split(p, r"\|>\n", 2))
-    turns = F.transform(both, lambda p: F.struct(unescaped(F.substring(p[0], F.lit(len(OPEN) + 1), F.length(p[0]))).alias("role"), unescaped(p[1]).alias("text")))
+    # The opening mark goes first: with a role that starts with the rest of a closing mark it would look like one.
+    both = F.transform(fresh, lambda p: F.split(F.substr(p, F.lit(len(OPEN) + 1)), r"\|>\n", 2))
+    turns = F.transform(both, lambda p: F.struct(unescaped(p[0]).alias("role"), unescaped(p[1]).alias("text")))
     texts = F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
     return formatted.withColumn("turns", turns).withColumn("loss_text", F.array_join(texts, ""))
 

@@ -6,11 +6,9 @@ executors share, so that a lost executor costs a re-read and not a recomputation
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,37 +16,31 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_KEY = "spark.checkpoint.dir"
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
-    path = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if path:
-        return path.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="quarry-shared-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return f"file://{_own[0]}"
-
-
-def _mine(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in this application's part of the shared folder."""
-    return f"{_mine(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove what this application's operators have stored. Results that are not written yet can't be read after that."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_mine(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from quarry.sources.shared import clear_scratch, remove, scratch, shared_dir
 
+__all__ = ["clear_scratch", "few", "remove", "scratch", "shared_dir", "slices", "stored", "table", "temporaries", "text_of", "trained_on", "with_hot_keys"]
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writers: dict[int, list] = {}
+_open = threading.local()
+
+
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Shuffle files go when the write that made them ends. The first of several writers sets this, the last one restores what was there."""
+    with _lock:
+        mine = _writers.setdefault(id(spark), [0, spark.conf.get(_CLEAN, None)])
+        mine[0] += 1
+        spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            mine[0] -= 1
+            if not mine[0]:
+                del _writers[id(spark)]
+                spark.conf.unset(_CLEAN) if mine[1] is None else spark.conf.set(_CLEAN, mine[1])
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -57,15 +49,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The write's own shuffle files are of no more use then, and are removed at once.
     """
     spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
+    path = scratch(spark, name)
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    for paths in getattr(_open, "paths", ()):
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporaries(spark: SparkSession):
+    """Tables that this thread stores within the block go at its end: for work whose result is stored outside of it."""
+    if not hasattr(_open, "paths"):
+        _open.paths = []
+    paths: list[str] = []
+    _open.paths.append(paths)
+    try:
+        yield
+    finally:
+        _open.paths.remove(paths)
+        for path in paths:
+            remove(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,7 +89,6 @@ def trained_on(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
-
 def slices(batch: pa.RecordBatch, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with a bounded number of bytes of text (one row at least)."""
     size = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
@@ -95,6 +100,27 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 4_000_000) -> Iterator[pa.Re
         start = end
 
 
-def few(df: DataFrame, most_rows: int) -> DataFrame:
-    """df, to be broadcast if it has at most most_rows rows, and joined by shuffle otherwise."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def few(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """df, to be broadcast if its rows take at most most_bytes, which is measured, and joined by shuffle otherwise."""
+
+    def width(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.octet_length(name)
+        return F.octet_length(F.to_json(F.struct(name))) if kind.startswith(("array", "struct", "map")) else F.lit(8)
+
+    row = sum((F.coalesce(width(n, k), F.lit(0)) for n, k in df.dtypes), F.lit(32))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).head()[0] or 0) <= most_bytes else df
+
+
+def with_hot_keys(rows: DataFrame, other: DataFrame, key: str, name: str, least: int = 10_000, share: int = 256) -> DataFrame:
+    """rows joined with other, which has each key once: keys of very many rows by broadcast, so that none fills a task.
+
+    A key counts as hot beyond least rows and beyond one in share of all, so there are at most share hot keys.
+    """
+    total = rows.count()
+    hot = rows.groupBy(key).count().where(F.col("count") > max(least, total // share)).select(key)
+    hot = stored(hot, name)
+    if hot.isEmpty():
+        return rows.join(other, key)
+    hot = F.broadcast(hot)
+    return rows.join(hot, key, "left_semi").join(F.broadcast(other.join(hot, key, "left_semi")), key).unionByName(rows.join(hot, key, "left_anti").join(other, key))

@@ -112,7 +112,7 @@ def _least_hashes(ks: Column, goal: Column) -> Column:
     return F.aggregate(ks, start, step, lambda a: a["j"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: float = 0.8, run: int = 9, most_broadcast: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: float = 0.8, run: int = 9, most_broadcast: int = 64 << 20) -> DataFrame:
     """(doc_id, item_id, coverage, longest_run): the benchmark items that documents hold.
 
     An item is held where share of its windows of words template words stand in
@@ -123,7 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: f
     document's; the best one counts. docs needs doc_id and
     text, benchmark item_id and text; other columns are ignored, null texts are
     empty and match nothing, as do texts without words. Texts of fewer than words
-    words match only as a whole. Rows with the same doc_id or item_id count as
+    words match only as a whole. Tables that follow from the benchmark are broadcast
+    up to most_broadcast bytes each, and joined by shuffle beyond. Rows with the same doc_id or item_id count as
     one; null ids have no row. The order of equal rows does not matter.
 
     Items that templates can miss though they are copied word for word are also

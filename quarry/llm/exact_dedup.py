@@ -3,12 +3,13 @@
 Texts are cut into fixed-size blocks of bytes. The distinct blocks are sorted and
 numbered, so equal blocks share an integer name and different ones never do.
 Adjacent names are then paired and the distinct pairs numbered in the same way,
-until one name stands for each document: equal names mean equal texts.
+until one name stands for each document: equal names mean equal texts. A name is
+a rank in the whole table's order, so it does not depend on partitions.
 
 Text is shuffled once, by the distinct blocks, after duplicates have been dropped
-on the map side. Documents find their blocks' names by a digest of the block; that
-this is exact is proved on the whole table of names, where a digest with two names
-would show, and a wider digest is then taken.
+on the map side. Blocks are ordered and found by a digest; that no two have the
+same one is proved on the whole table of blocks, and a wider digest is taken
+where it fails.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, text_of
+from quarry.llm.common import few, stored, text_of, with_hot_keys
 
 #: From the cheapest to the widest.
-DIGESTS: tuple[Callable[[Column], Column], ...] = (F.md5, lambda b: F.sha2(b, 256), lambda b: F.sha2(b, 512))
+DIGESTS: tuple[Callable[[Column], Column], ...] = (lambda b: F.unhex(F.md5(b)), lambda b: F.unhex(F.sha2(b, 256)), lambda b: F.unhex(F.sha2(b, 512)))
 
 
 def _n_blocks(text: Column, size: int) -> Column:
@@ -36,22 +37,30 @@ def _digests(digest, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda i: digest(_block(F.col("raw"), i, size)))
 
 
-def _numbered(distinct: DataFrame, *by: str) -> DataFrame:
-    """Adds name: the row's number in sorted order. Sorting makes a repeated task give the same numbers."""
-    return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
+def _named(distinct: DataFrame, *by: str) -> DataFrame:
+    """Adds name: the row's rank in the order of by over the whole table. The driver sees one count a partition."""
+    sorted_ = distinct.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = stored(sorted_.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "names")
+    bases, base = [], 0
+    for part, n in sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        bases.append((part, base))
+        base += n
+    where = few(distinct.sparkSession.createDataFrame(bases, "part int, base long"))
+    return placed.join(where, "part").select(*distinct.columns, (F.col("base") + F.col("at")).alias("name"))
 
 
 def _block_names(raw: DataFrame, digest, size: int) -> DataFrame | None:
     """(digest, name) of every distinct block, or None if two blocks share a digest."""
     blocks = raw.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda i: _block(F.col("raw"), i, size))).alias("block"))
-    names = stored(_numbered(blocks.select(digest(F.col("block")).alias("digest"), "block").distinct(), "digest", "block").select("digest", "name"), "blocks")
-    return names if names.groupBy("digest").count().where("count > 1").isEmpty() else None
+    found = stored(blocks.select(digest(F.col("block")).alias("digest"), "block").distinct().select("digest"), "blocks")
+    return _named(found, "digest") if found.groupBy("digest").count().where("count > 1").isEmpty() else None
 
 
-def identities(docs: DataFrame, block_bytes: int = 8192, digests: Sequence = DIGESTS) -> DataFrame:
+def identities(docs: DataFrame, block_bytes: int = 2048, digests: Sequence = DIGESTS) -> DataFrame:
     """(row, doc_id, text_sha256, level, name): rows have equal texts exactly if level and name are equal.
 
     row is a number given to each row of docs, so that repeated ids stay apart.
+    level is the number of pairings, which the number of blocks decides.
     """
     raw = docs.select("doc_id", text_of().alias("text")).select("doc_id", "text", F.col("text").cast("binary").alias("raw"), _n_blocks(F.col("text"), block_bytes).alias("n_blocks"))
     for digest in digests:
@@ -67,23 +76,26 @@ def identities(docs: DataFrame, block_bytes: int = 8192, digests: Sequence = DIG
             break
     else:
         raise ValueError("every digest given names two different blocks alike")
-    one = rows.where("n_blocks = 1").select("row", "doc_id", "text_sha256", F.lit(0).alias("level"), F.col("digests")[0].alias("digest")).join(names, "digest").drop("digest")
-    most = rows.agg(F.max("n_blocks")).head()[0] or 1
-    if most == 1:
-        return one
-    now = rows.where("n_blocks > 1").select("row", F.posexplode("digests").alias("pos", "digest")).join(names, "digest").select("row", "pos", "name")
-    level = 0
-    while most > 1:
-        half = F.floor(F.col("pos") / 2).cast("int")
-        pairs = now.groupBy("row", half.alias("pos")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
-        pairs = stored(pairs, "pairs")
-        names = stored(_numbered(pairs.select("a", "b").distinct(), "a", "b"), "names")
-        now, most, level = pairs.join(names, ["a", "b"]).select("row", "pos", "name"), -(-most // 2), level + 1
-    many = rows.where("n_blocks > 1").select("row", "doc_id", "text_sha256", F.lit(level).alias("level")).join(now.select("row", "name"), "row")
-    return one.unionByName(many)
-
-
-def exact_duplicates(docs: DataFrame, block_bytes: int = 8192, digests: Sequence = DIGESTS) -> DataFrame:
+    parts = rows.select("row", F.col("n_blocks").alias("n"), F.posexplode("digests").alias("pos", "digest"))
+    now = stored(with_hot_keys(parts, names, "digest", "hot-blocks").select("row", "n", "pos", "name"), "named")
+    done, level = [], 0
+    while True:
+        done.append(now.where("n = 1").select("row", F.lit(level).alias("level"), "name"))
+        now = now.where("n > 1")
+        if now.isEmpty():
+            break
+        left = F.col("pos") % 2 == 0
+        pairs = now.groupBy("row", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.floor(F.col("pos") / 2).cast("int").alias("pos"))
+        pairs = stored(pairs.agg(F.max(F.when(left, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~left, F.col("name"))), F.lit(-1)).alias("b")).withColumn("pair", F.struct("a", "b")), "pairs")
+        names = _named(pairs.select("pair").distinct(), "pair")
+        now, level = stored(with_hot_keys(pairs, names, "pair", "hot-pairs").select("row", "n", "pos", "name"), "named"), level + 1
+    named = done[0]
+    for more in done[1:]:
+        named = named.unionByName(more)
+    return rows.select("row", "doc_id", "text_sha256").join(named, "row")
+
+
+def exact_duplicates(docs: DataFrame, block_bytes: int = 2048, digests: Sequence = DIGESTS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     docs needs doc_id and text; other columns are ignored. A null text is an empty
@@ -92,32 +104,42 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = 8192, digests: Sequence
     repeated, exactly one of its rows stays. An empty table gives no rows.
     """
     ids = stored(identities(docs, block_bytes, digests), "identities")
-    last = F.max(F.struct("doc_id", "row"))
-    groups = ids.groupBy("level", "name").agg(last.alias("last"), F.count(F.lit(1)).alias("group_size"))
-    return ids.join(groups, ["level", "name"]).select("doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "text_sha256")
-
-
-def keep_rows(docs: DataFrame, allow: DataFrame) -> DataFrame:
-    """Rows of docs named by allow (doc_id, text_sha256, n): n rows of that id and text stay.
-
-    Ids that occur once in docs are matched by doc_id alone, without moving more
-    than ids to the join's other side. Only repeated and null ids are told apart
-    by their text's digest and a row number; there are few of those.
+    groups = ids.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    # A row without a copy needs no partner; groups are few beside rows, and a large group is one row here.
+    found = ids.join(few(stored(groups, "groups")), ["level", "name"], "left")
+    alone = F.col("last").isNull()
+    return found.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("last.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row") == F.col("last.row"))).alias("kept"),
+        "text_sha256",
+    )
+
+
+def keep_rows(docs: DataFrame, marks: DataFrame, allow: DataFrame) -> DataFrame:
+    """Rows of docs as marks (doc_id, kept; one row for each of docs) says, where an id tells a row apart.
+
+    Of ids that are repeated or null, the rows stay that allow (doc_id,
+    text_sha256, n) names: n rows of that id and text. Texts stay where they are,
+    unless the ids that go are too many to broadcast; only rows with repeated and
+    null ids are shuffled.
     """
-    allow = stored(allow.select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"), F.col("n").alias("__keep_n")), "allow")
-    often = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__keep_r"))
-    often = stored(often, "repeated")
+    marks = stored(marks.select(F.col("doc_id").alias("__keep_r"), "kept"), "marks")
+    often = stored(marks.groupBy("__keep_r").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or __keep_r is null").select("__keep_r"), "repeated")
+    gone = few(stored(marks.where("not kept").select("__keep_r").distinct(), "gone"), 64 << 20)
     if often.isEmpty():
-        return docs.join(allow, docs["doc_id"] == allow["__keep_id"], "left_semi")
-    single = allow.join(often, F.col("__keep_id").eqNullSafe(F.col("__keep_r")), "left_anti")
-    kept = docs.join(single, docs["doc_id"] == single["__keep_id"], "left_semi")
-    some = docs.join(often, docs["doc_id"].eqNullSafe(often["__keep_r"]), "left_semi").withColumn("__keep_s", F.sha2(text_of(), 256))
+        return docs.join(gone, docs["doc_id"] == gone["__keep_r"], "left_anti")
+    allow = stored(allow.select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"), F.col("n").alias("__keep_n")), "allow")
+    known = few(often, 64 << 20)
+    kept = docs.join(known, docs["doc_id"].eqNullSafe(known["__keep_r"]), "left_anti").join(gone, docs["doc_id"] == gone["__keep_r"], "left_anti")
+    some = docs.join(known, docs["doc_id"].eqNullSafe(known["__keep_r"]), "left_semi").withColumn("__keep_s", F.sha2(text_of(), 256))
     some = some.withColumn("__keep_k", F.row_number().over(Window.partitionBy("doc_id", "__keep_s").orderBy("__keep_s")))
     some = some.join(allow, some["doc_id"].eqNullSafe(allow["__keep_id"]) & (some["__keep_s"] == allow["__keep_sha"]) & (some["__keep_k"] <= allow["__keep_n"]), "left_semi")
     return kept.unionByName(some.drop("__keep_s", "__keep_k"))
 
 
-def drop_duplicates(docs: DataFrame, block_bytes: int = 8192) -> DataFrame:
+def drop_duplicates(docs: DataFrame, block_bytes: int = 2048) -> DataFrame:
     """The rows of docs that exact_duplicates keeps, with docs' columns."""
-    found = exact_duplicates(docs, block_bytes)
-    return keep_rows(docs, found.where("kept").select("doc_id", "text_sha256", F.lit(1).alias("n")))
+    found = stored(exact_duplicates(docs, block_bytes), "duplicates")
+    return keep_rows(docs, found, found.where("kept").select("doc_id", "text_sha256", F.lit(1).alias("n")))

@@ -13,7 +13,7 @@ from quarry.llm.common import scratch, stored, table, trained_on
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table's turns and conversation -1, whose texts look like a template's own marks."""
     marks = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    more = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{marks}'), (-1L, 1L, 'assistant', '{marks}') AS t (conv_id, turn, role, text)")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
 
 

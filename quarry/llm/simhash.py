@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, text_of
+from quarry.llm.common import few, stored, text_of
 from quarry.llm.components import components
 from quarry.llm.exact_dedup import keep_rows
 
@@ -100,8 +100,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     texts without a word have fingerprint 0, which links like any other. Equal
     fingerprints always link. component_id is the smallest doc_id of the
     component; null ids are ignored for it, unless there is no other. root is the
-    smallest fingerprint of the component, which names it also where ids repeat or are null. Repeated
-    rows give repeated results, an empty table none.
+    smallest fingerprint of the component, which names it also where ids repeat or
+    are null. Repeated rows give repeated results, an empty table none.
     """
     fps = stored(fingerprints(docs, words, seed), "fingerprints")
     reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
@@ -119,7 +119,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, merge_
     With merge_ids, components with the same smallest doc_id count as one;
     without, each keeps a row.
     """
-    found = near_duplicates(docs, words, seed)
-    name = F.when(F.lit(not merge_ids) | F.col("component_id").isNull(), F.col("root")).alias("name")
-    one = found.groupBy("component_id", name).agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "text_sha256"))).alias("one"))
-    return keep_rows(docs, one.select("one.*", F.lit(1).alias("n")))
+    found = stored(near_duplicates(docs, words, seed).withColumn("name", F.when(F.lit(not merge_ids) | F.col("component_id").isNull(), F.col("root"))), "near-duplicates")
+    chosen = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "text_sha256")))
+    one = stored(found.groupBy("component_id", "name").agg(chosen.alias("one"), F.count(F.lit(1)).alias("size")), "components")
+    several = few(one.where("size > 1").select(F.col("component_id").alias("c"), F.col("name").alias("m"), "one"))
+    marks = found.join(several, found["component_id"].eqNullSafe(several["c"]) & found["name"].eqNullSafe(several["m"]), "left")
+    kept = F.col("one").isNull() | (F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_sha256") == F.col("one.text_sha256")))
+    return keep_rows(docs, marks.select("doc_id", kept.alias("kept")), one.select("one.*", F.lit(1).alias("n")))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of
+from quarry.llm.common import few, stored, text_of
 
 # Fixed values of the WARC 1.1 and the Zstandard formats.
 VERSION = b"WARC/1.1"
@@ -29,6 +29,8 @@ SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 END = b"\r\n\r\n"
+#: A dictionary has at most so many bytes. A record has at most RECORD: more than any text that Spark holds, with headers, so that all that is written is read.
+DICTIONARY, RECORD = 1 << 26, 1 << 32
 
 
 def digest(payload: bytes) -> str:
@@ -71,7 +73,7 @@ def archive(records: list[bytes], level: int = 3, dict_bytes: int = 16384, sampl
 
 
 def frames(stream, most_bytes: int, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The records of an archive, one frame each, from a stream of its bytes."""
+    """The records of an archive, one frame each, from a stream of its bytes. A dictionary may take DICTIONARY bytes, as written and unpacked."""
 
     def exactly(n: int) -> bytes:
         data = stream.read(n)
@@ -82,8 +84,10 @@ def frames(stream, most_bytes: int, chunk: int = 1 << 20) -> Iterator[bytes]:
     magic, size = struct.unpack("<II", exactly(8))
     if magic != SKIPPABLE:
         raise ValueError("the archive does not start with a dictionary frame")
+    if size > DICTIONARY:
+        raise ValueError("the archive's dictionary is too large")
     raw = exactly(size)
-    raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=most_bytes) if raw[:4] == FRAME else raw
+    raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=DICTIONARY) if raw[:4] == FRAME else raw
     reader, rest = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)), b""
     while rest or (rest := stream.read(chunk)):
         one, parts, total = reader.decompressobj(), [], 0
@@ -142,11 +146,14 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Payloads of at least least_bytes count as equal if SHA-1 and length are. Rows
     that repeat the smallest page_id are all responses; a null page_id is larger
-    than any, and responses only where the group has no other id.
+    than any, and responses only where the group has no other id. Digests and
+    lengths are shuffled, payloads are not.
     """
     rows = pages.select("page_id", "url", F.encode(text_of("html"), "UTF-8").alias("payload"))
-    rows = rows.withColumn("_sha", F.sha1("payload")).withColumn("_n", F.octet_length("payload"))
+    rows = rows.withColumn("_sha", F.unhex(F.sha1("payload"))).withColumn("_n", F.octet_length("payload"))
     groups = rows.select("_sha", "_n", "page_id").groupBy("_sha", "_n").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_rows")).where((F.col("_rows") > 1) & (F.col("_n") >= least_bytes)).drop("_rows")
+    # Only payloads that occur more than once are looked up, so payloads stay where they are unless those are too many to broadcast.
+    groups = few(stored(groups, "payload-groups"))
     other = ~F.coalesce(F.col("page_id") == F.col("_first"), F.lit(False))
     return rows.join(groups, ["_sha", "_n"], "left").select("page_id", "url", "payload", F.when(other, F.col("_first")).alias("refers_to"))
 
@@ -193,12 +200,14 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 32 << 20,
     return rows.mapInArrow(run, "path string, records long")
 
 
-def read_archives(paths: DataFrame, with_payload: bool = True, most_bytes: int = 1 << 30) -> DataFrame:
+def read_archives(paths: DataFrame, with_payload: bool = True, most_bytes: int = RECORD) -> DataFrame:
     """One row per record of the archives that paths (path: a URI) names.
 
     record_id, record_type, target_uri, refers_to, payload (null for revisits),
     payload_bytes and payload_digest as the record states them for the full
-    payload. A record that fails validation ends the query with its reason.
+    payload. A record that fails validation ends the query with its reason, as does
+    one of more than most_bytes, which no record of write_archives has. An empty
+    table gives no rows.
     """
 
     def run(batches):
@@ -232,6 +241,6 @@ def read_archives(paths: DataFrame, with_payload: bool = True, most_bytes: int =
 
 
 def page_of(record_id: Column) -> Column:
-    """The page_id in a record id that write_archives gave, null for others."""
+    """The page_id in a record id that write_archives gave to an integer page_id; null for other ids, null page_ids and texts among them."""
     found = F.regexp_extract(record_id, r"^<urn:page:(-?\d+)>$", 1)
     return F.when(found != "", found).cast("long")
