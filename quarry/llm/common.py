@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources.shared import clear_scratch, remove, scratch, shared_dir
 
-__all__ = ["clear_scratch", "few", "remove", "scratch", "shared_dir", "slices", "stored", "table", "temporaries", "text_of", "trained_on", "with_hot_keys"]
+__all__ = ["clear_scratch", "few", "remove", "scratch", "shared_dir", "slices", "stored", "table", "temporaries", "text_of", "trained_on"]
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock = threading.Lock()
@@ -110,17 +110,3 @@ def few(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
 
     row = sum((F.coalesce(width(n, k), F.lit(0)) for n, k in df.dtypes), F.lit(32))
     return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).head()[0] or 0) <= most_bytes else df
-
-
-def with_hot_keys(rows: DataFrame, other: DataFrame, key: str, name: str, least: int = 10_000, share: int = 256) -> DataFrame:
-    """rows joined with other, which has each key once: keys of very many rows by broadcast, so that none fills a task.
-
-    A key counts as hot beyond least rows and beyond one in share of all, so there are at most share hot keys.
-    """
-    total = rows.count()
-    hot = rows.groupBy(key).count().where(F.col("count") > max(least, total // share)).select(key)
-    hot = stored(hot, name)
-    if hot.isEmpty():
-        return rows.join(other, key)
-    hot = F.broadcast(hot)
-    return rows.join(hot, key, "left_semi").join(F.broadcast(other.join(hot, key, "left_semi")), key).unionByName(rows.join(hot, key, "left_anti").join(other, key))

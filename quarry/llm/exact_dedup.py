@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import few, stored, text_of, with_hot_keys
+from quarry.llm.common import few, stored, text_of
 
 #: From the cheapest to the widest.
 DIGESTS: tuple[Callable[[Column], Column], ...] = (lambda b: F.unhex(F.md5(b)), lambda b: F.unhex(F.sha2(b, 256)), lambda b: F.unhex(F.sha2(b, 512)))
@@ -37,26 +37,42 @@ def _digests(digest, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda i: digest(_block(F.col("raw"), i, size)))
 
 
-def _named(distinct: DataFrame, *by: str) -> DataFrame:
-    """Adds name: the row's rank in the order of by over the whole table. The driver sees one count a partition."""
-    sorted_ = distinct.repartitionByRange(*by).sortWithinPartitions(*by)
-    placed = stored(sorted_.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "names")
-    bases, base = [], 0
-    for part, n in sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
-        bases.append((part, base))
-        base += n
-    where = few(distinct.sparkSession.createDataFrame(bases, "part int, base long"))
-    return placed.join(where, "part").select(*distinct.columns, (F.col("base") + F.col("at")).alias("name"))
+def _named(counted: DataFrame, key: str, hot_share: int = 256, hot_least: int = 10_000) -> tuple[DataFrame, int | None]:
+    """(key, name) of counted (key, n), and the n beyond which a key is hot, if there is such a key.
 
-
-def _block_names(raw: DataFrame, digest, size: int) -> DataFrame | None:
-    """(digest, name) of every distinct block, or None if two blocks share a digest."""
+    name is the key's rank over the whole table. The driver sees three numbers a
+    partition. Hot keys are those of more than one in hot_share of all rows, so
+    there are at most as many.
+    """
+    placed = counted.repartitionByRange(key).sortWithinPartitions(key)
+    placed = stored(placed.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "names")
+    bases, base, total, most = [], 0, 0, 0
+    for r in sorted(placed.groupBy("part").agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).collect()):
+        bases.append((r[0], base))
+        base, total, most = base + r[1], total + r[2], max(most, r[3])
+    where = F.broadcast(placed.sparkSession.createDataFrame(bases, "part int, base long"))  # a row of 12 bytes for each partition
+    hot = max(hot_least, total // hot_share)
+    return placed.join(where, "part").select(key, "n", (F.col("base") + F.col("at")).alias("name")), hot if most > hot else None
+
+
+def _looked_up(rows: DataFrame, names: tuple[DataFrame, int | None], key: str) -> DataFrame:
+    """rows with their keys' names; hot keys are looked up by broadcast, so that none fills a task."""
+    table, hot = names
+    rest = table.select(key, "name")
+    if hot is None:
+        return rows.join(rest, key)
+    few_hot = F.broadcast(stored(table.where(F.col("n") > hot).select(key, "name"), "hot"))
+    return rows.join(few_hot, key).unionByName(rows.join(few_hot, key, "left_anti").join(rest, key))
+
+
+def _block_names(raw: DataFrame, digest, size: int) -> tuple[DataFrame, int | None] | None:
+    """_named over every distinct block's digest, or None if two blocks share one."""
     blocks = raw.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda i: _block(F.col("raw"), i, size))).alias("block"))
-    found = stored(blocks.select(digest(F.col("block")).alias("digest"), "block").distinct().select("digest"), "blocks")
-    return _named(found, "digest") if found.groupBy("digest").count().where("count > 1").isEmpty() else None
+    counted = stored(blocks.groupBy(digest(F.col("block")).alias("digest"), "block").agg(F.count(F.lit(1)).alias("n")).select("digest", "n"), "blocks")
+    return _named(counted, "digest") if counted.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty() else None
 
 
-def identities(docs: DataFrame, block_bytes: int = 2048, digests: Sequence = DIGESTS) -> DataFrame:
+def identities(docs: DataFrame, block_bytes: int = 8192, digests: Sequence = DIGESTS) -> DataFrame:
     """(row, doc_id, text_sha256, level, name): rows have equal texts exactly if level and name are equal.
 
     row is a number given to each row of docs, so that repeated ids stay apart.
@@ -76,26 +92,22 @@ def identities(docs: DataFrame, block_bytes: int = 2048, digests: Sequence = DIG
             break
     else:
         raise ValueError("every digest given names two different blocks alike")
+    most = rows.agg(F.max("n_blocks")).head()[0] or 1
     parts = rows.select("row", F.col("n_blocks").alias("n"), F.posexplode("digests").alias("pos", "digest"))
-    now = stored(with_hot_keys(parts, names, "digest", "hot-blocks").select("row", "n", "pos", "name"), "named")
-    done, level = [], 0
-    while True:
-        done.append(now.where("n = 1").select("row", F.lit(level).alias("level"), "name"))
-        now = now.where("n > 1")
-        if now.isEmpty():
-            break
+    now = _looked_up(parts, names, "digest").select("row", "n", "pos", "name")
+    named, level = now.where("n = 1").select("row", F.lit(0).alias("level"), "name"), 0
+    while most > 1:
         left = F.col("pos") % 2 == 0
-        pairs = now.groupBy("row", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.floor(F.col("pos") / 2).cast("int").alias("pos"))
-        pairs = stored(pairs.agg(F.max(F.when(left, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~left, F.col("name"))), F.lit(-1)).alias("b")).withColumn("pair", F.struct("a", "b")), "pairs")
-        names = _named(pairs.select("pair").distinct(), "pair")
-        now, level = stored(with_hot_keys(pairs, names, "pair", "hot-pairs").select("row", "n", "pos", "name"), "named"), level + 1
-    named = done[0]
-    for more in done[1:]:
-        named = named.unionByName(more)
+        pairs = now.where("n > 1").groupBy("row", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.floor(F.col("pos") / 2).cast("int").alias("pos"))
+        pairs = pairs.agg(F.max(F.when(left, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~left, F.col("name"))), F.lit(-1)).alias("b"))
+        pairs = stored(pairs.select("row", "n", "pos", F.struct("a", "b").alias("pair")), "pairs")
+        names = _named(pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "pair")
+        now, most, level = _looked_up(pairs, names, "pair").select("row", "n", "pos", "name"), -(-most // 2), level + 1
+        named = named.unionByName(now.where("n = 1").select("row", F.lit(level).alias("level"), "name"))
     return rows.select("row", "doc_id", "text_sha256").join(named, "row")
 
 
-def exact_duplicates(docs: DataFrame, block_bytes: int = 2048, digests: Sequence = DIGESTS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, block_bytes: int = 8192, digests: Sequence = DIGESTS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     docs needs doc_id and text; other columns are ignored. A null text is an empty
@@ -139,7 +151,7 @@ def keep_rows(docs: DataFrame, marks: DataFrame, allow: DataFrame) -> DataFrame:
     return kept.unionByName(some.drop("__keep_s", "__keep_k"))
 
 
-def drop_duplicates(docs: DataFrame, block_bytes: int = 2048) -> DataFrame:
+def drop_duplicates(docs: DataFrame, block_bytes: int = 8192) -> DataFrame:
     """The rows of docs that exact_duplicates keeps, with docs' columns."""
     found = stored(exact_duplicates(docs, block_bytes), "duplicates")
     return keep_rows(docs, found, found.where("kept").select("doc_id", "text_sha256", F.lit(1).alias("n")))
