@@ -199,7 +199,11 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: float
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item, each by its own text; rows without an id stay."""
+    """The rows of docs that hold no benchmark item, each by its own text, with docs' columns; rows without an id stay.
+
+    Null and empty texts hold nothing. Repeated rows share a verdict, an empty
+    table gives no rows, an empty benchmark drops none.
+    """
     rows = docs.withColumn("__held_sha", F.when(F.col("doc_id").isNotNull(), F.sha2(text_of(), 256)))
     held = contaminated(rows.select(F.col("__held_sha").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__held_sha")).distinct()
-    return rows.join(held, "__held_sha", "left_anti").select(*docs.columns)
+    return rows.join(few(stored(held, "held"), 64 << 20), "__held_sha", "left_anti").select(*docs.columns)

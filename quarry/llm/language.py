@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -21,92 +22,132 @@ from pyspark.sql import functions as F
 from quarry.llm.common import slices, stored, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
-#: The vocabulary's mark of a word's start; letters a piece has at most; letters that are scored together at most.
-START, PIECE, CHUNK = "▁", 8, 30
+#: The vocabulary's mark of a word's start. Words of up to SHORT letters are summed together and as they are, longer ones each for itself and in logarithms.
+START, SHORT = "▁", 30
 #: Piece 0 is any single letter that the vocabulary lacks.
 UNKNOWN = 0
 
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> dict[str, int]:
-    """Lower-case pieces of letters, numbered from 1."""
+    """All lower-case pieces of letters, numbered from 1."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
-    good = sorted({p for p in pieces if p == p.lower() and len(p) <= PIECE and (p.removeprefix(START).isalpha() or p == START)})
+    good = sorted({p for p in pieces if p == p.lower() and (p.removeprefix(START).isalpha() or p == START)})
     return {p: i for i, p in enumerate(good, 1)}
 
 
-def chunks(word: str) -> list[str]:
-    """The marked word, cut where it is very long; all of it is scored."""
-    word = START + word
-    return [word[i : i + CHUNK] for i in range(0, len(word), CHUNK)]
+_matchers: list[tuple[dict, ahocorasick.Automaton]] = []
 
 
-def piece_ids(words: list[str], vocab: dict[str, int]) -> np.ndarray:
-    """ids[w, i, k]: the piece of k + 1 letters that ends after letter i of word w, -1 where there is none."""
-    ids = np.full((len(words), max(map(len, words)), PIECE), -1, "int32")
-    get = vocab.get
-    for w, word in enumerate(words):
-        for i in range(1, len(word) + 1):
-            for k in range(1, min(i, PIECE) + 1):
-                p = get(word[i - k : i])
-                if p is not None:
-                    ids[w, i - 1, k - 1] = p
-                elif k == 1:
-                    ids[w, i - 1, 0] = UNKNOWN
-    return ids
+def _matcher(vocab: dict[str, int]) -> ahocorasick.Automaton:
+    """Finds every piece in a text. Made once for a vocabulary."""
+    for v, a in _matchers:
+        if v is vocab:
+            return a
+    a = ahocorasick.Automaton()
+    for p, i in vocab.items():
+        a.add_word(p, (len(p), i))
+    a.make_automaton()
+    _matchers[:] = [*_matchers[-1:], (vocab, a)]
+    return a
+
+
+def lattice(words: list[str], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(end, length, word, piece) of every piece that stands in a word, sorted by end and length. Words start with START, so no piece spans two."""
+    joined, sizes = "".join(words), np.array([len(w) for w in words])
+    ends = np.cumsum(sizes)
+    found = np.array([(e, k, p) for e, (k, p) in _matcher(vocab).iter(joined)], "int64").reshape(-1, 3)
+    whole = np.arange(len(joined))
+    missing = np.setdiff1d(whole, found[found[:, 1] == 1, 0], assume_unique=True)
+    at = np.concatenate([found[:, 0], missing])
+    k = np.concatenate([found[:, 1], np.ones(len(missing), "int64")])
+    p = np.concatenate([found[:, 2], np.full(len(missing), UNKNOWN)])
+    word = np.searchsorted(ends, at, "right")
+    end = at - (ends - sizes)[word] + 1
+    order = np.lexsort((k, end))
+    return end[order], k[order], word[order], p[order]
+
 
+def _steps(end: np.ndarray, k: np.ndarray, word: np.ndarray, piece: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The lattice by (end, length): each word occurs once in a step."""
+    cut = np.flatnonzero((np.diff(end) != 0) | (np.diff(k) != 0)) + 1
+    starts = np.concatenate([[0], cut])
+    return [(int(end[a]), int(k[a]), word[a:z], piece[a:z]) for a, z in zip(starts, [*cut, len(end)], strict=True)]
 
-def forward(ids: np.ndarray, probs: np.ndarray) -> np.ndarray:
+
+def _forward(steps, n: int, most: int, probs: np.ndarray) -> np.ndarray:
     """a[i, w, l]: the probability of the first i letters of word w in language l, over all segmentations."""
-    n, most, _ = ids.shape
     a = np.zeros((most + 1, n, probs.shape[1]))
     a[0] = 1
-    for i in range(1, most + 1):
-        for k in range(1, min(i, PIECE) + 1):
-            at = np.flatnonzero(ids[:, i - 1, k - 1] >= 0)
-            if len(at):
-                a[i, at] += a[i - k, at] * probs[ids[at, i - 1, k - 1]]
+    for i, k, w, p in steps:
+        a[i, w] += a[i - k, w] * probs[p]
     return a
 
 
+def _long_forward(word: str, vocab: dict[str, int], logs: np.ndarray) -> tuple[np.ndarray, list]:
+    """(log a[i, l], steps) of one word of any length."""
+    steps = _steps(*lattice([word], vocab))
+    a = np.full((len(word) + 1, logs.shape[1]), -np.inf)
+    a[0] = 0
+    for i, k, _, p in steps:
+        a[i] = np.logaddexp(a[i], a[i - k] + logs[p[0]])
+    return a, steps
+
+
+def _groups(words: list[str]):
+    """Numbers of short words, in groups of similar length, and those of long ones."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    short = [i for i in order if len(words[i]) <= SHORT]
+    return [short[at : at + 4096] for at in range(0, len(short), 4096)], order[len(short) :]
+
+
 def log_probs(words: list[str], vocab: dict[str, int], probs: np.ndarray) -> np.ndarray:
-    """log P of each chunk in each language."""
+    """log P of each marked word in each language, summed over all its segmentations."""
     out = np.empty((len(words), probs.shape[1]))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
-        a = forward(piece_ids([words[i] for i in some], vocab), probs)
-        out[some] = np.log(a[[len(words[i]) for i in some], np.arange(len(some))])
+    groups, long = _groups(words)
+    for some in groups:
+        mine = [words[i] for i in some]
+        a = _forward(_steps(*lattice(mine, vocab)), len(mine), len(mine[-1]), probs)
+        out[some] = np.log(a[[len(w) for w in mine], np.arange(len(mine))])
+    if long:
+        logs = np.log(probs)
+        for i in long:
+            out[i] = _long_forward(words[i], vocab, logs)[0][-1]
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, vocab: dict[str, int], probs: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece, over all segmentations of counted chunks under one language's probs."""
-    out, p = np.zeros(len(probs)), probs[:, None]
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
-        lengths = np.array([len(words[i]) for i in some])
-        ids = piece_ids([words[i] for i in some], vocab)
-        a = forward(ids, p)[:, :, 0]
+    """Expected uses of each piece, over all segmentations of counted marked words under one language's probs."""
+    out = np.zeros(len(probs))
+    groups, long = _groups(words)
+    for some in groups:
+        mine = [words[i] for i in some]
+        lengths = np.array([len(w) for w in mine])
+        steps = _steps(*lattice(mine, vocab))
+        a = _forward(steps, len(mine), len(mine[-1]), probs[:, None])[:, :, 0]
         b = np.zeros_like(a)
-        b[lengths, np.arange(len(some))] = 1
-        for i in range(a.shape[0] - 1, 0, -1):
-            for k in range(1, min(i, PIECE) + 1):
-                w = np.flatnonzero(ids[:, i - 1, k - 1] >= 0)
-                b[i - k, w] += b[i, w] * probs[ids[w, i - 1, k - 1]]
-        share = counts[some] / a[lengths, np.arange(len(some))]
-        for i in range(1, a.shape[0]):
-            for k in range(1, min(i, PIECE) + 1):
-                w = np.flatnonzero(ids[:, i - 1, k - 1] >= 0)
-                piece = ids[w, i - 1, k - 1]
-                np.add.at(out, piece, a[i - k, w] * probs[piece] * b[i, w] * share[w])
+        b[lengths, np.arange(len(mine))] = 1
+        for i, k, w, p in reversed(steps):
+            b[i - k, w] += b[i, w] * probs[p]
+        share = counts[some] / a[lengths, np.arange(len(mine))]
+        for i, k, w, p in steps:
+            out += np.bincount(p, a[i - k, w] * probs[p] * b[i, w] * share[w], len(out))
+    logs = np.log(probs)
+    for j in long:
+        a, steps = _long_forward(words[j], vocab, logs[:, None])
+        b = np.full(len(a), -np.inf)
+        b[-1] = 0
+        for i, k, _, p in reversed(steps):
+            b[i - k] = np.logaddexp(b[i - k], b[i] + logs[p[0]])
+        for i, k, _, p in steps:
+            out[p[0]] += counts[j] * np.exp(a[i - k, 0] + logs[p[0]] + b[i] - a[-1, 0])
     return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n) over docs (lang, text); words are marked chunks."""
+    """(lang, word, n) over docs (lang, text); words are lower-cased and marked."""
+
     def run(batches):
         counts: Counter = Counter()
 
@@ -117,7 +158,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                counts.update((lang, c) for w in WORD.findall(text.lower()) for c in chunks(w))
+                counts.update((lang, START + w) for w in WORD.findall(text.lower()))
                 if len(counts) > 200_000:
                     yield out()
         yield out()
@@ -172,7 +213,7 @@ def identify(docs: DataFrame, train: DataFrame, path: str, most_docs: int = 2000
     """One row per row of docs: doc_id, lang_pred, score (0 to 1: the language's share of the probability).
 
     docs needs doc_id and text, train doc_id, lang and text; other columns are
-    ignored. Whole texts are scored. Texts that are null or have no letter are
+    ignored. Whole texts and whole words are scored, however long. Texts that are null or have no letter are
     `und` with score 0, as are all if train names no language. Repeated rows give
     repeated results, ties go to the first language by name, empty tables give
     no rows.
@@ -186,7 +227,7 @@ def identify(docs: DataFrame, train: DataFrame, path: str, most_docs: int = 2000
         table = np.empty((0, len(langs)))
         for whole in batches:
             for b in slices(whole):
-                texts = [[c for w in WORD.findall((t or "").lower()) for c in chunks(w)] for t in b.column("text").to_pylist()]
+                texts = [[START + w for w in WORD.findall((t or "").lower())] for t in b.column("text").to_pylist()]
                 new = list(set().union(*texts).difference(place))
                 if len(place) + len(new) > 300_000:
                     place, table = {}, np.empty((0, len(langs)))
@@ -196,7 +237,7 @@ def identify(docs: DataFrame, train: DataFrame, path: str, most_docs: int = 2000
                     table = np.concatenate([table, log_probs(new, v, p)])
                 pred, score = [], []
                 for words in texts:
-                    if not langs or not any(c.isalpha() for w in words for c in w[w.startswith(START) :]):
+                    if not langs or not words:
                         pred.append("und")
                         score.append(0.0)
                         continue

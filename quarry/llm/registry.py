@@ -74,6 +74,42 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2_pii's columns that follow from the patterns alone."""
+    return op2_pii(spark, sf_dir).drop("spans", "n_added")
+
+
+PII_BASE_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents
+), patterns AS (
+  SELECT * FROM (VALUES
+    (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+    (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) AS t (o, kind, p)
+), matched AS (
+  SELECT r, o, kind, regexp_extract_all(x, p) AS m, string_split_regex(x, p) AS s FROM texts, patterns
+), found AS (
+  SELECT r, o, kind, m, s, unnest(m) AS v, generate_subscripts(m, 1) AS i FROM matched
+), placed AS (
+  SELECT r, o, kind, v, regexp_replace(v, '[^0-9]', '', 'g') AS d,
+         CAST(list_sum(list_transform(s[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS a FROM found
+), good AS (
+  SELECT r, o, kind, a, a + length(v) AS b FROM placed
+  WHERE CASE kind
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND CAST('0' || right(ltrim(p, '0'), 3) AS INT) <= 255))
+    WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda k:
+      CAST(substr(d, length(d) - k, 1) AS INT) * (1 + k % 2) - CASE WHEN CAST(substr(d, length(d) - k, 1) AS INT) * (1 + k % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0
+    WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
+    ELSE true END
+), listed AS (
+  SELECT r, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY o, a) AS spans,
+         count(*) FILTER (o = 0) AS e, count(*) FILTER (o = 1) AS i, count(*) FILTER (o = 2) AS c, count(*) FILTER (o = 3) AS p FROM good GROUP BY r
+)
+SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256
+FROM texts LEFT JOIN listed USING (r)
+""".replace("\\\\", "\\")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     written = stored(warc.write_archives(pages, scratch(spark, "warc"), archive_bytes=16 << 20), "archives")
@@ -199,6 +235,7 @@ FROM documents d LEFT JOIN held h ON h.doc_id = d.doc_id
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_pii": op2_pii,
+    "pii_base_spans": pii_base_spans,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
@@ -211,6 +248,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat_format": OP1_SQL,
+    "pii_base_spans": PII_BASE_SQL,
     "op3_warc": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_decontamination": OP10_SQL,
