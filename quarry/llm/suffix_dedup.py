@@ -1,15 +1,14 @@
-"""Repeated passages by a logarithmic family of sampled suffix indexes.
+"""Repeated passages by a logarithmic family of sparse suffix arrays.
 
 Suffixes are sampled by content: of the k-byte strings in each window of the
 wanted length, the one with the least hash is its anchor, so that equal windows
-have equal anchors at equal places. An index lists a batch's anchored suffixes in
-order, each as its anchor and its context: the bytes of all windows it anchors.
-Every new batch is merged against each index there is and the matches noted; then
-indexes of equal size are merged, so there are never more than the logarithm of
-the number of batches.
-
-Suffixes with equal contexts match in full. Where an anchor has several contexts,
-a passage begins or ends; there, and only there, windows are compared one by one.
+have equal anchors at equal places. An anchored suffix has a context, the bytes of
+all windows it anchors. Contexts that are equal throughout are counted; where an
+anchor stands in different contexts, a passage begins or ends, and these go
+through the family: each batch's suffixes are sorted by their text, which makes its
+suffix array, and merge-scanned against the array of every level for windows that
+both have, byte by byte. Arrays of equal rank are then merged, so there are never
+more than the logarithm of the number of batches.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, stored, text_of
+from quarry.llm.common import slices, stored, temporaries, text_of
 
 #: Window starts that are handled at once; longer texts are read in overlapping stretches.
 STRETCH = 1 << 20
@@ -63,7 +62,7 @@ def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def suffixes(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(g, c, d, t, lo, hi, p) for every anchored suffix of docs (d, t, text): anchor and context hashes, window starts lo to hi, anchor at p."""
+    """(g, c, d, t, lo, hi, p) for every anchored suffix of docs (d, t, text): the anchor's hash, the context's digest of 128 bits, window starts lo to hi, anchor at p."""
     names = ["g", "c", "d", "t", "lo", "hi", "p"]
 
     def run(batches):
@@ -77,49 +76,49 @@ def suffixes(docs: DataFrame, length: int, k: int) -> DataFrame:
                         g, p, lo, hi = anchors(part, length, k)
                         out[0] += g.tolist()
                         for x, a, z in zip(p.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                            c = hashlib.blake2b(part[a : z + length], digest_size=8, salt=(x - a).to_bytes(2, "little")).digest()
-                            out[1].append(int.from_bytes(c, "little", signed=True))
+                            out[1].append(hashlib.blake2b(part[a : z + length], digest_size=16, salt=(x - a).to_bytes(2, "little")).digest())
                         out[2] += [d] * len(p)
                         out[3] += [t] * len(p)
                         for col, v in zip(out[4:], (lo, hi, p), strict=True):
                             col += (v + at).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "c" else pa.int64()) for c, v in zip(names, out, strict=True)], names)
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'c' else 'long'}" for c in names))
 
 
-class IndexFamily:
-    """Indexes (g, c, n), sorted by anchor and context within partitions; full and mixed hold the matches found so far."""
+class SuffixArrays:
+    """Levels (rank, array): arrays (g, right, left, n, d, t, p) of anchored suffixes, sorted by anchor and text within partitions.
 
-    def __init__(self) -> None:
+    right is the text from the anchor on, left what stands before it in the
+    suffix's windows, n how often the context occurs.
+    """
+
+    def __init__(self, length: int) -> None:
+        self.length = length
         self.levels: list[tuple[int, DataFrame]] = []
-        self.full: list[DataFrame] = []
-        self.mixed: list[DataFrame] = []
+        self.found: list[DataFrame] = []
 
     @staticmethod
-    def _ends(index: DataFrame) -> DataFrame:
-        return index.groupBy("g").agg(F.min("c").alias("least"), F.max("c").alias("most"))
+    def _sorted(suffixes: DataFrame) -> DataFrame:
+        return stored(suffixes.repartition("g").sortWithinPartitions("g", "right", "left"), "suffix-array")
 
     def add(self, batch: DataFrame) -> None:
-        """Index batch (g, c), scan it against all levels, and merge those of equal size."""
-        new = stored(batch.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("g", "c"), "index")
-        full, mixed = [new.where("n > 1").select("g", "c")], [self._ends(new).where("least <> most").select("g")]
+        """Sort a batch, scan it against all levels (itself, if there is none), and merge arrays of equal rank."""
+        new = self._sorted(batch)
+        anchors = new.select("g").distinct()
         for _, level in self.levels:
-            full.append(new.join(level.select("g", "c"), ["g", "c"], "left_semi").select("g", "c"))
-            there = self._ends(level).select("g", F.col("least").alias("l"), F.col("most").alias("m"))
-            mixed.append(self._ends(new).join(there, "g").where("least <> l or most <> m").select("g"))
-        self.full.append(stored(_all(full), "full"))
-        self.mixed.append(stored(_all(mixed), "mixed"))
+            self.found.append(stored(_scanned(new.unionByName(level.join(anchors, "g", "left_semi")), self.length), "matches"))
+        if not self.levels:
+            self.found.append(stored(_scanned(new, self.length), "matches"))
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
-            old = self.levels.pop()[1]
-            new = stored(old.unionByName(new).groupBy("g", "c").agg(F.sum("n").alias("n")).sortWithinPartitions("g", "c"), "index")
+            new = self._sorted(self.levels.pop()[1].unionByName(new))
             rank += 1
         self.levels.append((rank, new))
 
-    def matches(self) -> tuple[DataFrame, DataFrame]:
-        """((g, c) of contexts that occur more than once, g of anchors with several contexts)."""
-        return stored(_all(self.full).distinct(), "full"), stored(_all(self.mixed).distinct(), "mixed")
+    def matches(self) -> DataFrame:
+        """(d, t, a, b): what the windows cover that different contexts share, for contexts that occur once."""
+        return _all(self.found)
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -129,6 +128,44 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """The length of the longest common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid)
+    return low
+
+
+def shared_windows(suffixes: list[tuple[bytes, bytes]], length: int) -> list[list[int]]:
+    """Per suffix (right, left) of one anchor, sorted: how far before the anchor the windows start that another suffix has too.
+
+    A window that starts x before the anchor is shared by suffixes that have
+    length - x bytes in common after it, which is a run in sorted order, and x
+    bytes before it.
+    """
+    shared: list[list[int]] = [[] for _ in suffixes]
+    ahead = [0, *(_common(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:], strict=False))]
+    most = max(ahead)
+    for x in range(max(0, length - most), min(length, sorted(len(left) for _, left in suffixes)[-2]) + 1):
+        first: dict[bytes, int] = {}
+        for i, (right, left) in enumerate(suffixes):
+            if ahead[i] < length - x:
+                first = {}
+            if len(right) < length - x or len(left) < x:
+                continue
+            head = left[len(left) - x :]
+            j = first.setdefault(head, i)
+            if j != i:
+                shared[i].append(x)
+                if not shared[j] or shared[j][-1] != x:
+                    shared[j].append(x)
+    return shared
+
+
 def _runs(starts: list[int], length: int) -> list[tuple[int, int]]:
     """The stretches that windows starting at sorted starts cover."""
     out: list[list[int]] = []
@@ -147,31 +184,19 @@ def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], _SPANS)
 
 
-def _resolved(contexts: DataFrame, length: int) -> DataFrame:
-    """(d, t, a, b): what is covered by windows that several of an anchor's contexts share, for contexts that occur once.
-
-    contexts (g, n, d, t, lo, x, bytes) comes sorted by g; a group is held at a time.
-    """
+def _scanned(suffixes: DataFrame, length: int) -> DataFrame:
+    """(d, t, a, b) of SuffixArrays.matches for the suffixes of some arrays. An anchor's suffixes are held at a time."""
 
     def group(rows):
-        seen: dict[tuple[int, bytes], int] = {}
-        for i, (_, _, _, _, x, data) in enumerate(rows):
-            for j in range(len(data) - length + 1):
-                at = (x - j, data[j : j + length])
-                was = seen.setdefault(at, i)
-                if was != i:
-                    seen[at] = -1
-        out = []
-        for i, (n, d, t, lo, x, data) in enumerate(rows):
-            if n == 1:
-                got = [lo + j for j in range(len(data) - length + 1) if seen[x - j, data[j : j + length]] != i]
-                out += [(d, t, a, b) for a, b in _runs(got, length)]
-        return out
+        if len(rows) < 2:
+            return []
+        shared = shared_windows([(right, left) for right, left, *_ in rows], length)
+        return [(d, t, a, b) for (_, _, n, d, t, p), xs in zip(rows, shared, strict=True) if n == 1 and xs for a, b in _runs(sorted(p - x for x in xs), length)]
 
     def run(batches):
         now, rows, done = None, [], []
         for b in batches:
-            for g, *row in zip(*(b.column(c).to_pylist() for c in ("g", "n", "d", "t", "lo", "x", "bytes")), strict=True):
+            for g, *row in zip(*(b.column(c).to_pylist() for c in ("g", "right", "left", "n", "d", "t", "p")), strict=True):
                 if g != now:
                     done += group(rows)
                     now, rows = g, []
@@ -181,66 +206,82 @@ def _resolved(contexts: DataFrame, length: int) -> DataFrame:
                 done = []
         yield _spans(done + group(rows))
 
-    return contexts.select("g", "n", "d", "t", "lo", "x", "bytes").mapInArrow(run, "d long, t long, a long, b long")
+    sorted_ = suffixes.repartition("g").sortWithinPartitions("g", "right", "left")
+    return sorted_.select("g", "right", "left", "n", "d", "t", "p").mapInArrow(run, "d long, t long, a long, b long")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(g, c, n, m, d, t, lo, x, bytes) for wanted (g, c, n, m, d, t, lo, hi, p): the contexts' bytes, from their texts."""
-    per = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("g", "c", "n", "m", "lo", "hi", "p")).alias("w"))
+    """(g, batch, n, m, d, t, p, left, right) for wanted (g, batch, n, m, d, t, lo, hi, p): the contexts' bytes, from their texts."""
+    per = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("g", "batch", "n", "m", "lo", "hi", "p")).alias("w"))
+    names = ["g", "batch", "n", "m", "d", "t", "p", "left", "right"]
 
     def run(batches):
         for whole in batches:
             for b in slices(whole):
-                out: list[list] = [[] for _ in range(9)]
+                out: list[list] = [[] for _ in names]
                 for d, t, text, w in zip(*(b.column(c).to_pylist() for c in ("d", "t", "text", "w")), strict=True):
                     data = text.encode("utf-8", "replace")
                     for r in w:
-                        for col, v in zip(out, (r["g"], r["c"], r["n"], r["m"], d, t, r["lo"], r["p"] - r["lo"], data[r["lo"] : r["hi"] + length]), strict=True):
+                        for col, v in zip(out, (r["g"], r["batch"], r["n"], r["m"], d, t, r["p"], data[r["lo"] : r["p"]], data[r["p"] : r["hi"] + length]), strict=True):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if i == 8 else pa.int64()) for i, v in enumerate(out)], ["g", "c", "n", "m", "d", "t", "lo", "x", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if i > 6 else pa.int64()) for i, v in enumerate(out)], names)
 
-    return docs.join(per, ["d", "t"]).select("d", "t", "text", "w").mapInArrow(run, "g long, c long, n long, m long, d long, t long, lo long, x long, bytes binary")
+    return docs.join(per, ["d", "t"]).select("d", "t", "text", "w").mapInArrow(run, ", ".join(f"{c} {'binary' if i > 6 else 'long'}" for i, c in enumerate(names)))
 
 
 def _by_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same as _resolved for anchors with very many contexts: one row per window, dealt by its digest."""
+    """The same as SuffixArrays finds, for anchors with very many contexts: one row per window, dealt by its digest."""
+    names = ["g", "h", "c", "n", "d", "t", "s"]
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for g, c, n, d, t, lo, x, data in zip(*(b.column(i).to_pylist() for i in ("g", "c", "n", "d", "t", "lo", "x", "bytes")), strict=True):
+            out: list[list] = [[] for _ in names]
+            for g, n, d, t, p, left, right in zip(*(b.column(i).to_pylist() for i in ("g", "n", "d", "t", "p", "left", "right")), strict=True):
+                data, me = left + right, hashlib.blake2b(f"{d} {t} {p}".encode(), digest_size=16).digest()
                 for j in range(len(data) - length + 1):
-                    h = hashlib.blake2b(data[j : j + length], digest_size=16, salt=(x - j).to_bytes(2, "little")).digest()
-                    for col, v in zip(out, (g, h, c, n, d, t, lo + j), strict=True):
+                    h = hashlib.blake2b(data[j : j + length], digest_size=16, salt=(len(left) - j).to_bytes(2, "little")).digest()
+                    for col, v in zip(out, (g, h, me, n, d, t, p - len(left) + j), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if i == 1 else pa.int64()) for i, v in enumerate(out)], ["g", "h", "c", "n", "d", "t", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if 0 < i < 3 else pa.int64()) for i, v in enumerate(out)], names)
 
-    rows = stored(contexts.mapInArrow(run, "g long, h binary, c long, n long, d long, t long, s long"), "windows")
+    rows = stored(contexts.mapInArrow(run, "g long, h binary, c binary, n long, d long, t long, s long"), "windows")
     twice = rows.groupBy("g", "h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("g", "h")
     return rows.where("n = 1").join(twice, ["g", "h"], "left_semi").select("d", "t", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
 
 
-def covered(docs: DataFrame, length: int = 200, k: int = 100, batches: int = 3, most_contexts: int = 20_000) -> DataFrame:
+def n_batches(docs: DataFrame, batch_bytes: int) -> int:
+    """Two batches, and one more for each doubling of the texts beyond batch_bytes."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
+    return 2 + max(0, (size // batch_bytes).bit_length())
+
+
+def covered(docs: DataFrame, length: int = 200, k: int = 100, batches: int | None = None, most_contexts: int = 4_000, batch_bytes: int = 256 << 20) -> DataFrame:
     """(d, t, a, b): stretches of bytes of docs (d, t, text) that windows occurring elsewhere cover.
 
-    Anchors with up to most_contexts different contexts are resolved in a task each,
-    some 300 bytes a context; those with more by a shuffle of their windows.
+    Only anchors that occur more than once are followed. Those with up to
+    most_contexts different contexts go through the family, where a task holds an
+    anchor's suffixes, some 300 bytes each; those with more are resolved by a
+    shuffle of their windows.
     """
-    found = stored(suffixes(docs, length, k), "suffixes")
-    family = IndexFamily()
+    spark = docs.sparkSession
+    batches = batches or n_batches(docs, batch_bytes)
+    with temporaries(spark):
+        found = stored(suffixes(docs, length, k), "suffixes")
+        repeated = stored(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "repeated-anchors")
+        some = found.join(repeated, "g", "left_semi").withColumn("batch", F.pmod(F.xxhash64("d", "t"), F.lit(batches)))
+        found = stored(some, "repeated-suffixes", keep=True)
+    groups = found.groupBy("batch", "g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "lo", "hi", "p")).alias("r"))
+    groups = stored(groups.select("batch", "g", "c", "n", "r.*"), "contexts")
+    several = groups.where("n > 1").select("batch", "g", "c")
+    whole = stored(found.join(several, ["batch", "g", "c"], "left_semi").select("d", "t", F.col("lo").alias("a"), (F.col("hi") + length).alias("b")), "whole")
+    mixed = groups.join(groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "g")
+    contexts = stored(_contexts(docs, mixed, length), "context-bytes")
+    arrays = SuffixArrays(length)
     for i in range(batches):
-        family.add(found.where(F.pmod("t", F.lit(batches)) == i).select("g", "c"))
-    full, mixed = family.matches()
-    whole = found.join(full, ["g", "c"], "left_semi").select("d", "t", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    some = found.join(mixed, "g", "left_semi").groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "lo", "hi", "p")).alias("r"))
-    some = stored(some.select("g", "c", "n", "r.*"), "contexts")
-    some = some.join(some.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "g")
-    contexts = stored(_contexts(docs, some, length), "context-bytes")
-    few, many = contexts.where(F.col("m") <= most_contexts), contexts.where(F.col("m") > most_contexts)
-    spans = whole.unionByName(_resolved(few.repartition("g").sortWithinPartitions("g"), length))
-    if not many.isEmpty():
-        spans = spans.unionByName(_by_windows(many, length))
-    return stored(spans, "spans")
+        arrays.add(contexts.where((F.col("batch") == i) & (F.col("m") <= most_contexts)).select("g", "right", "left", "n", "d", "t", "p"))
+    spans = whole.unionByName(arrays.matches())
+    many = contexts.where(F.col("m") > most_contexts)
+    return spans if many.isEmpty() else spans.unionByName(_by_windows(many, length))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -248,7 +289,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), F.xxhash64(text_of(), F.lit("text")).alias("t"), text_of().alias("text"))
 
 
-def without_repeats(docs: DataFrame, length: int = 200, k: int = 100, batches: int = 3, most_contexts: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 200, k: int = 100, batches: int | None = None, most_contexts: int = 4_000) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256, kept.
 
     Every byte goes that is covered by length bytes which also start anywhere else,
@@ -259,7 +300,9 @@ def without_repeats(docs: DataFrame, length: int = 200, k: int = 100, batches: i
     offsets, end exclusive. An empty table gives no rows.
     """
     rows = _keyed(docs)
-    spans = covered(rows, length, k, batches, most_contexts).groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    with temporaries(docs.sparkSession):
+        spans = covered(rows, length, k, batches, most_contexts)
+        spans = stored(spans.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans", keep=True)
 
     def run(batches):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.string(), pa.binary()]

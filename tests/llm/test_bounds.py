@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import chat, language, packing, pii, registry, toxicity
+from quarry.llm import chat, language, packing, pii, registry, suffix_dedup, toxicity
 from quarry.llm.common import stored, table, temporaries, trained_on
 
 SF = "/root/testdata/sf0.01"
@@ -142,3 +142,28 @@ def test_temporary_tables_go(spark):
         file = Path(df.inputFiles()[0].removeprefix("file://"))
         assert df.count() == 3 and file.exists()
     assert not file.exists()
+
+
+def test_shared_windows_of_sorted_suffixes():
+    r = random.Random(21)
+    for _ in range(200):
+        length, anchor = 12, b"anchor"
+        made = {(anchor + bytes(r.choice(b"ab") for _ in range(r.randint(0, 6))), bytes(r.choice(b"xy") for _ in range(r.randint(0, 6)))) for _ in range(r.randint(2, 9))}
+        some = sorted(made)
+        whole = [left + right for right, left in some]
+        windows = [{x: w[len(left) - x : len(left) - x + length] for x in range(len(left) + 1) if length - x <= len(right)} for w, (right, left) in zip(whole, some, strict=True)]
+        want = [sorted(x for x, v in mine.items() if any(other.get(x) == v for j, other in enumerate(windows) if j != i)) for i, mine in enumerate(windows)]
+        assert [sorted(x) for x in suffix_dedup.shared_windows(some, length)] == want
+
+
+def test_levels_merge_geometrically(spark):
+    rows = [(g, b"anchor" + bytes([97 + i]) * 6, b"zz", 1, i, 0, 2) for i in range(4) for g in (1, 2)]
+    made = suffix_dedup.SuffixArrays(8)
+    ranks = []
+    for i in range(4):
+        made.add(spark.createDataFrame([r for r in rows if r[4] == i], "g long, right binary, left binary, n long, d long, t long, p long"))
+        ranks.append([rank for rank, _ in made.levels])
+    assert ranks == [[0], [1], [1, 0], [2]]
+    assert {(r.d, r.a, r.b) for r in made.matches().collect()} == {(i, 0, 8) for i in range(4)}
+    texts = [bytes(r.right) for r in made.levels[0][1].where("g = 1").collect()]
+    assert texts == sorted(texts) and len(texts) == 4
