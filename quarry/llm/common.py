@@ -43,18 +43,18 @@ def _cleaning(spark: SparkSession):
                 spark.conf.unset(_CLEAN) if mine[1] is None else spark.conf.set(_CLEAN, mine[1])
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: int = 0) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The write's own shuffle files are of no more use then, and are removed at
-    once. With keep, the table outlives the innermost block of temporaries.
+    once. keep says how many of the innermost blocks of temporaries it outlives.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     with _cleaning(spark):
         df.write.parquet(path)
     scopes = getattr(_open, "paths", ())
-    for paths in scopes[: len(scopes) - keep]:
+    for paths in scopes[: max(0, len(scopes) - keep)]:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

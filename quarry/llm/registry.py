@@ -172,6 +172,33 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+OP9_SQL = """
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+  SELECT r, j, substr(h, 1000 * j + 1, 1398) AS c FROM (SELECT r, h, unnest(range(0, length(h) // 1000 + 1)) AS j FROM texts)
+), starts AS (
+  SELECT r, j, c, unnest(range(0, least(500, greatest(0, length(c) // 2 - 199)))) AS i FROM pieces
+), windows AS (
+  SELECT r, 500 * j + i AS i, md5_number(substr(c, 2 * i + 1, 400)) AS k FROM starts
+), repeated AS (
+  SELECT k FROM windows GROUP BY k HAVING count(*) > 1
+), hits AS (
+  SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 1 ELSE 0 END AS fresh FROM windows SEMI JOIN repeated USING (k)
+), runs AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM hits) GROUP BY r, run
+), gaps AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last, count(*) AS n_spans, sum(b - a) AS n_removed
+  FROM gaps JOIN texts USING (r) GROUP BY r
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -251,5 +278,6 @@ ORACLES = {
     "pii_base_spans": PII_BASE_SQL,
     "op3_warc": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op9_suffix_dedup": OP9_SQL,
     "op10_decontamination": OP10_SQL,
 }

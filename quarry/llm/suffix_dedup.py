@@ -269,7 +269,7 @@ def covered(docs: DataFrame, length: int = 200, k: int = 100, batches: int | Non
         found = stored(suffixes(docs, length, k), "suffixes")
         repeated = stored(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "repeated-anchors")
         some = found.join(repeated, "g", "left_semi").withColumn("batch", F.pmod(F.xxhash64("d", "t"), F.lit(batches)))
-        found = stored(some, "repeated-suffixes", keep=True)
+        found = stored(some, "repeated-suffixes", keep=1)
     groups = found.groupBy("batch", "g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "lo", "hi", "p")).alias("r"))
     groups = stored(groups.select("batch", "g", "c", "n", "r.*"), "contexts")
     several = groups.where("n > 1").select("batch", "g", "c")
@@ -302,7 +302,7 @@ def without_repeats(docs: DataFrame, length: int = 200, k: int = 100, batches: i
     rows = _keyed(docs)
     with temporaries(docs.sparkSession):
         spans = covered(rows, length, k, batches, most_contexts)
-        spans = stored(spans.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans", keep=True)
+        spans = stored(spans.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans", keep=1)
 
     def run(batches):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.string(), pa.binary()]
