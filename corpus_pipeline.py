@@ -2,7 +2,11 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), where
 docs has the columns of documents, and returns a DataFrame with the same columns,
-the last one the packing's. run() writes each stage's result and reads it again.
+the last one the packing's. run() writes each stage's result and reads it again,
+and removes what the stage stored besides. In every stage null texts are empty,
+rows are told apart by id and text where ids repeat or are null, other columns
+(whatever their names) go along unread, very long texts are read whole, and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,31 +15,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, exact_dedup, packing, simhash, toxicity
-from quarry.llm.common import stored, table, trained_on
+from quarry.llm.common import stored, table, temporaries, trained_on
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; the labels beside the corpus teach what toxic is."""
+    """Rows whose text is predicted toxic go; the labels beside the corpus teach what toxic is. Equal texts share a verdict; an empty one is not toxic unless labels say so."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), trained_on)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the largest doc_id stays."""
+    """Of rows with equal texts, the one with the largest doc_id stays (a null is below any); of rows equal in both, one."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest doc_id stays."""
+    """Of each component of near-duplicates, the row with the smallest doc_id stays; components are told apart by fingerprint, so equal or null ids do not merge them."""
     return simhash.drop_near_duplicates(docs, merge_ids=False)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows that hold a benchmark item go, each by its own text; rows without an id stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left as sequences of 2048 tokens, one row per piece of a document."""
+    """What is left as sequences of 2048 tokens, one row per piece of a document; rows with equal ids are packed each for itself."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -54,6 +58,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    with temporaries(spark):
+        for name, stage in STAGES[:-1]:
+            with temporaries(spark):
+                docs = stored(stage(spark, docs, sf_dir), name, keep=1)
+        name, stage = STAGES[-1]
+        return stored(stage(spark, docs, sf_dir), name, keep=1)
