@@ -94,6 +94,6 @@ def test_stages(docs, tables, spark, tmp_path, name):
     if name == "exact_dedup":
         assert len(ids) == len({t or "" for _, t in ROWS})
     if name == "simhash":
-        assert len(ids) == 6 and ("None", "only here") in ids and ("5", "another text") in ids
+        assert len(ids) == 7 and ("None", "only here") in ids and ("5", "another text") in ids
     if name == "decontamination":
         assert len(ids) == len(ROWS) - 1
