@@ -50,7 +50,8 @@ def _named(counted: DataFrame, key: str, hot_share: int = 256, hot_least: int =
     for r in sorted(placed.groupBy("part").agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).collect()):
         bases.append((r[0], base))
         base, total, most = base + r[1], total + r[2], max(most, r[3])
-    where = F.broadcast(placed.sparkSession.createDataFrame(bases, "part int, base long"))  # a row of 12 bytes for each partition
+    values = ", ".join(f"({part}, {base}L)" for part, base in bases or [(0, 0)])
+    where = F.broadcast(placed.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t (part, base)"))  # a row of 12 bytes for each partition
     hot = max(hot_least, total // hot_share)
     return placed.join(where, "part").select(key, "n", (F.col("base") + F.col("at")).alias("name")), hot if most > hot else None
 
