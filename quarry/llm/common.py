@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources.shared import clear_scratch, remove, scratch, shared_dir
 
-__all__ = ["clear_scratch", "few", "remove", "scratch", "shared_dir", "slices", "stored", "table", "temporaries", "text_of", "trained_on"]
+__all__ = ["clear_scratch", "few", "remove", "scratch", "shared_dir", "slices", "stored", "table", "temporaries", "text_of", "trained_on", "unstored"]
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock = threading.Lock()
@@ -74,6 +74,13 @@ def temporaries(spark: SparkSession):
             remove(spark, path)
 
 
+def unstored(tables: list[DataFrame]) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for t in tables:
+        if files := t.inputFiles():
+            remove(t.sparkSession, files[0].rpartition("/")[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, stored, temporaries, text_of
+from quarry.llm.common import slices, stored, temporaries, text_of, unstored
 
 #: Window starts that are handled at once; longer texts are read in overlapping stretches.
 STRETCH = 1 << 20
@@ -112,7 +112,9 @@ class SuffixArrays:
             self.found.append(stored(_scanned(new, self.length), "matches"))
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
-            new = self._sorted(self.levels.pop()[1].unionByName(new))
+            merged = [self.levels.pop()[1], new]
+            new = self._sorted(_all(merged))
+            unstored(merged)
             rank += 1
         self.levels.append((rank, new))
 
@@ -266,15 +268,15 @@ def covered(docs: DataFrame, length: int = 200, k: int = 100, batches: int | Non
     spark = docs.sparkSession
     batches = batches or n_batches(docs, batch_bytes)
     with temporaries(spark):
-        found = stored(suffixes(docs, length, k), "suffixes")
-        repeated = stored(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "repeated-anchors")
-        some = found.join(repeated, "g", "left_semi").withColumn("batch", F.pmod(F.xxhash64("d", "t"), F.lit(batches)))
-        found = stored(some, "repeated-suffixes", keep=1)
-    groups = found.groupBy("batch", "g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "lo", "hi", "p")).alias("r"))
-    groups = stored(groups.select("batch", "g", "c", "n", "r.*"), "contexts")
-    several = groups.where("n > 1").select("batch", "g", "c")
-    whole = stored(found.join(several, ["batch", "g", "c"], "left_semi").select("d", "t", F.col("lo").alias("a"), (F.col("hi") + length).alias("b")), "whole")
-    mixed = groups.join(groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "g")
+        with temporaries(spark):
+            found = stored(suffixes(docs, length, k), "suffixes")
+            repeated = stored(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "repeated-anchors")
+            found = stored(found.join(repeated, "g", "left_semi"), "repeated-suffixes", keep=1)
+        groups = found.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "lo", "hi", "p")).alias("r"))
+        groups = stored(groups.select("g", "c", "n", "r.*"), "contexts", keep=1)
+        several = groups.where("n > 1").select("g", "c")
+        whole = stored(found.join(several, ["g", "c"], "left_semi").select("d", "t", F.col("lo").alias("a"), (F.col("hi") + length).alias("b")), "whole", keep=1)
+    mixed = groups.join(groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "g").withColumn("batch", F.pmod(F.xxhash64("d", "t"), F.lit(batches)))
     contexts = stored(_contexts(docs, mixed, length), "context-bytes")
     arrays = SuffixArrays(length)
     for i in range(batches):
