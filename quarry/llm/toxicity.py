@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import few, stored, text_of
+from quarry.llm.common import few, slices, stored, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of which the two-parameter calibration is fitted, at most (expected).
@@ -29,6 +29,8 @@ FIT_ROWS = 50_000
 
 #: A word that is not itself significant is scored by its first letters, marked by an asterisk.
 STEM = 5
+#: Words that a task holds at once, in counting before it passes on what it has and in scoring before it looks up anew.
+HELD = 50_000
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 c.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["token", "toxic", "t", "d"])
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 once = Counter(WORD.findall(text.lower()))
                 stems = Counter()
@@ -71,7 +73,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 for c in (once, stems):
                     terms[toxic].update(c)
                     texts[toxic].update(c.keys())
-                if sum(map(len, terms.values())) > 200_000:
+                if sum(map(len, terms.values())) > HELD:
                     yield out()
         yield out()
 
@@ -193,13 +195,13 @@ def segments(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         def known(word):
             s = memory.get(word)
             if s is None:
-                if len(memory) > 300_000:
+                if len(memory) > HELD:
                     memory.clear()
                 s = memory[word] = score_of(word, scores, drift)
             return s
 
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             texts = b.column("text").to_pylist()
             if scores is None:
                 own = [dict(m or ()) for m in b.column("scores").to_pylist()]
